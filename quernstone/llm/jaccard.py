@@ -3,9 +3,9 @@
 A text's set is its distinct word shingles (64-bit hashes); texts link at a similarity of `percent` or more. Equal
 sets are one node from the start, known by a hash of the whole set, so copies are never paired.
 
-1. Texts that share one of three least hashes (of three permutations) meet in tiles of at most TILE nodes; within a
-   tile, nodes in different components are compared: sizes, then bit counts of the XOR of 512-bit parity bitmaps
-   (which bound the overlap from above), then the sorted arrays. Only the links that join components come out.
+1. Texts that share a key (two least hashes, of two permutations; four keys each) meet in tiles of at most TILE nodes; in
+   a tile, nodes in different components are compared: sizes, then bit counts of the XOR of parity bitmaps (which
+   bound the overlap from above), then the sorted arrays. Only the links that join components come out.
    A group larger than a tile is split by hash, with its first node in every part. This step finds nearly all
    components in linear work, but need not find all.
 2. Prefix filter, which misses nothing: each set is ordered by rarity (a count sketch of fixed size, then the hash);
@@ -35,8 +35,8 @@ from quernstone.llm import wordhash as wh
 from quernstone.llm.base import cut, small
 from quernstone.llm.components import components
 
-TILE, SKETCH, SLICES, WORDS = 1024, 1 << 20, 16, 8  # nodes, counters, parts they are summed in, 64-bit words of a bitmap
-KEYS = 3
+TILE, SKETCH, SLICES, LEAST = 1024, 1 << 20, 16, 512  # nodes, counters, parts they are summed in, places of a bitmap
+KEYS, ROWS = 4, 2
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,14 +56,26 @@ def node_of(s: np.ndarray, salt: int) -> int:
     return int(wh.mix(np.array([x.sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's members in each of 512 places."""
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+def bitmap(s: np.ndarray, places: int = 0) -> np.ndarray:
+    """Parity of the set's members in each of so many places; else a power of 2, LEAST at least and as many as members."""
+    places = places or max(LEAST, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows, all of the least length: a half XOR the other is the bitmap of half as many places."""
+    words = min(map(len, maps))
+    out = np.empty((len(maps), words), np.uint64)
+    for i, m in enumerate(maps):
+        out[i] = m if len(m) == words else np.bitwise_xor.reduce(m.reshape(-1, words), axis=0)
+    return out
+
+
 def least_keys(s: np.ndarray) -> list[int]:
-    return [int(wh.mix(s ^ np.uint64(wh.BASE * (k + 7) & wh.MASK)).min().view(np.int64)) + k for k in range(KEYS)]
+    """Each key joins the least hashes of ROWS permutations."""
+    least = [wh.mix(s ^ np.uint64(wh.BASE * (k + 7) & wh.MASK)).min() for k in range(KEYS * ROWS)]
+    return wh.mix(np.array(least, np.uint64).reshape(KEYS, ROWS) @ np.array([1, 0x9E3779B97F4A7C15], np.uint64) + np.arange(KEYS, dtype=np.uint64)).view(np.int64).tolist()
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -195,7 +207,7 @@ def tile_links(groups_of: Iterator[list[pa.Array]], percent: int) -> Iterator[tu
             continue
         arrays = [np.frombuffer(sets[int(i)].as_buffer(), np.uint64) for i in at]
         size = np.array([len(s) for s in arrays])
-        bits, forest = np.stack([bitmap(s) for s in arrays]), Forest(nodes)
+        bits, forest = np.stack([bitmap(s, LEAST) for s in arrays]), Forest(nodes)
         for i in range(len(nodes) - 1):
             j = i + 1 + np.flatnonzero(forest.of[i + 1 :] != forest.of[i])
             need = least_overlap(size[i], size[j], percent)
@@ -286,7 +298,7 @@ def tile_pairs(groups_of: Iterator[list[pa.Array]], percent: int) -> Iterator[tu
             continue
         home, part = home.to_numpy(zero_copy_only=False), part.to_numpy()
         size, at = place >> 32, place & 0xFFFFFFFF
-        maps = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, WORDS)
+        maps = folded([np.frombuffer(b.as_buffer(), np.uint64) for b in bits])
         diagonal = (int(cell[0].as_py()) >> 20) == (int(cell[0].as_py()) & 0xFFFFF)
         for i in np.flatnonzero(home).tolist():
             j = np.flatnonzero((root != root[i]) & (~home | (np.arange(len(nodes)) > i)) & ((part == part[i]) == diagonal))
