@@ -43,7 +43,7 @@ IDENTITY_TERMS = [
 ]
 #: What stands between words: all of ASCII but letters and digits.
 BETWEEN = wh.SYMBOLS
-MAX_FIT_ROWS = 20_000
+MAX_FIT_ROWS = 8_000
 
 
 @dataclass
