@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from quernstone.llm import wordhash as wh
 from quernstone.llm.base import cut, partitions
 
-MIX, BITS, PROBES, PART_BYTES = 0.4, 8, 4, 256_000_000
+MIX, BITS, PROBES, PART_BYTES = 0.4, 8, 4, 128_000_000
 END, START = np.uint64(1), np.uint64(2)  # in place of hashes of words
 FLUSH = 2_000_000
 MERGED = "kind int, shard int, hashes binary, counts binary, total long, size long"
