@@ -1,10 +1,653 @@
-"""Queries over the driver's tables and the SQL that they are held against."""
+"""Queries over the driver's tables, one for each operator, and the SQL that they are held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from quernstone.functions import text as tx
+from quernstone.functions import times, vector
+from quernstone.operators import bm25, chunk, evaluate, filters, fusion, rerank, store, vector_index
+from quernstone.plans.retrievers import Bm25, Ensemble, Vector, Weighted
+from quernstone.sources import records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the store's shape."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("document_id"), F.concat("source", F.lit("_"), "doc_id").alias("external_id"), F.col("text").alias("content"), "lang", "source", "n_chars")
+
+
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one chunk, with tokens."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), tx.tokens(F.col("text")).alias("tokens"))
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    return bm25.build(text_chunks(spark, sf_dir))
+
+
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.tokens(F.col("text")).alias("tokens"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+def vector_queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+    """The first vectors as a stated query set."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names} | ({"rank": F.col("rank").cast("long")} if "rank" in df.columns else {}))
+
+
+# ---- full text
+
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+INDEX = f"""
+toks AS (SELECT doc_id AS chunk_id, unnest({TOKENS}) AS term FROM documents),
+post AS (SELECT term, chunk_id, count(*) AS tf FROM toks GROUP BY term, chunk_id),
+lens AS (SELECT doc_id AS chunk_id, len({TOKENS}) AS dl FROM documents),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM lens),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+terms AS (SELECT term, df, ln((st.n - df + 0.5) / (df + 0.5) + 1) AS idf FROM dfs, st),
+qtok AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
+qt AS (SELECT query_id, term, CAST(count(*) AS DOUBLE) AS weight FROM qtok GROUP BY query_id, term)"""
+
+
+def scored_sql(name: str, weights: str, k1: float = 0.9, b: float = 0.25, where: str = "TRUE") -> str:
+    return f"""{name} AS (SELECT q.query_id, p.chunk_id, sum(q.weight * t.idf * p.tf * ({k1} + 1) / (p.tf + {k1} * (1 - {b} + {b} * l.dl / st.avgdl))) AS score
+  FROM {weights} q JOIN terms t ON t.term = q.term JOIN post p ON p.term = q.term JOIN lens l ON l.chunk_id = p.chunk_id, st
+  WHERE t.idf > 0 AND q.weight > 0 AND {where} GROUP BY q.query_id, p.chunk_id)"""
+
+
+def ranked_sql(name: str, source: str, k: int, where: str = "score > 0") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {source} WHERE {where}) WHERE rank <= {k})"""
+
+
+def top_sql(scored: str, k: int = 15, extra: str = "") -> str:
+    return f"WITH {INDEX}, {extra}{scored}, {ranked_sql('top', 's', k)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top"
+
+
+@query(top_sql(scored_sql("s", "qt")))
+def bm25_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir))), "score")
+
+
+@query(top_sql(scored_sql("s", "qt", 1.5, 0.75)))
+def bm25_index_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)), bm25.Params(k1=1.5, b=0.75)), "score")
+
+
+@query(f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(text_index(spark, sf_dir).terms, "idf")
+
+
+@query(f"WITH {INDEX} SELECT term, chunk_id, tf FROM post")
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_index(spark, sf_dir).postings
+
+
+@query(f"WITH {INDEX} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl FROM st")
+def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(text_index(spark, sf_dir).stats, "avgdl")
+
+
+@query(f"WITH {INDEX} SELECT chunk_id, CAST(dl AS BIGINT) AS len FROM lens")
+def bm25_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_index(spark, sf_dir).lengths
+
+
+SEEDS = """
+sd AS (SELECT q.query_id, q.term, t.idf, row_number() OVER (PARTITION BY q.query_id ORDER BY t.idf DESC, q.term) AS place,
+    max(t.idf) OVER (PARTITION BY q.query_id) AS best FROM qtok q JOIN terms t ON t.term = q.term WHERE t.idf > 0),
+seeds AS (SELECT query_id, term, idf AS seed, count(*) AS times FROM sd WHERE place <= 5 AND (place = 1 OR idf >= best * 0.6) GROUP BY query_id, term, idf)"""
+
+
+@query(f"WITH {INDEX}, {SEEDS} SELECT query_id, term, round(seed, 6) AS seed, times FROM seeds")
+def bm25_seed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bm25.seeds(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)), bm25.Params()), "seed")
+
+
+CANDIDATES = f"""{SEEDS},
+cs AS (SELECT s.query_id, p.chunk_id, sum(s.seed * p.tf * s.times) AS score FROM seeds s JOIN post p ON p.term = s.term GROUP BY s.query_id, p.chunk_id),
+{ranked_sql("cand", "cs", 150)}"""
+PRUNED = scored_sql("s", "qt", where="EXISTS (SELECT 1 FROM cand c WHERE c.query_id = q.query_id AND c.chunk_id = p.chunk_id)")
+
+
+@query(top_sql(PRUNED, extra=CANDIDATES + ", "))
+def bm25_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bm25.pruned(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir))), "score")
+
+
+@query(f"WITH {INDEX}, {CANDIDATES} SELECT query_id, count(*) AS candidates, (SELECT sum(s.times) FROM seeds s WHERE s.query_id = cand.query_id) AS seeds FROM cand GROUP BY query_id")
+def bm25_search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, terms = text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir))
+    n = bm25.candidates(index, terms, bm25.Params()).groupBy("query_id").agg(F.count("*").alias("candidates"))
+    return n.join(bm25.seeds(index, terms, bm25.Params()).groupBy("query_id").agg(F.sum("times").alias("seeds")), "query_id")
+
+
+@query(top_sql(scored_sql("s", "w"), extra="w AS (SELECT query_id, term, weight * (1 + 0.5 * (length(term) % 3)) AS weight FROM qt), "))
+def bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = bm25.query_terms(text_queries(spark, sf_dir)).withColumn("weight", F.col("weight") * (1 + 0.5 * (F.length("term") % 3)))
+    return rounded(bm25.exact(text_index(spark, sf_dir), terms), "score")
+
+
+RM3 = f"""{scored_sql("s1", "qt")}, {ranked_sql("fb", "s1", 10)},
+share AS (SELECT query_id, chunk_id, score / sum(score) OVER (PARTITION BY query_id) AS w FROM fb),
+rm AS (SELECT f.query_id, p.term, sum(CAST(p.tf AS DOUBLE) / l.dl * f.w) AS p FROM share f JOIN post p ON p.chunk_id = f.chunk_id JOIN lens l ON l.chunk_id = f.chunk_id GROUP BY f.query_id, p.term),
+kept AS (SELECT r.query_id, r.term, r.p / sum(r.p) OVER (PARTITION BY r.query_id) AS p FROM rm r JOIN dfs d ON d.term = r.term WHERE d.df >= 2),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, term) AS place FROM kept) WHERE place <= 20),
+ml AS (SELECT query_id, term, 0.6 * weight / sum(weight) OVER (PARTITION BY query_id) AS w FROM qt),
+rm3 AS (SELECT query_id, term, sum(w) AS weight FROM (SELECT query_id, term, w FROM ml UNION ALL SELECT query_id, term, 0.4 * p FROM cut) GROUP BY query_id, term)"""
+
+
+@query(f"WITH {INDEX}, {RM3} SELECT query_id, term, round(weight, 6) AS weight FROM rm3")
+def bm25_rm3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bm25.rm3_terms(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir))), "weight")
+
+
+@query(top_sql(scored_sql("s", "rm3"), extra=RM3 + ", "))
+def bm25_rm3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bm25.rm3_search(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir))), "score")
+
+
+@query(top_sql(scored_sql("s", "qt", where="EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = p.chunk_id AND d.lang = 'en' AND d.n_chars >= 500)")))
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = text_queries(spark, sf_dir)
+    allowed = queries.select("query_id").crossJoin(table(spark, sf_dir, "documents").where("lang = 'en' and n_chars >= 500").select(F.col("doc_id").alias("chunk_id")))
+    return rounded(bm25.exact(text_index(spark, sf_dir), bm25.query_terms(queries), allowed=allowed), "score")
+
+
+DEDUP = """
+d1 AS (SELECT t.query_id, t.chunk_id, t.score, t.rank, d.source AS document_id, row_number() OVER (PARTITION BY t.query_id, d.source ORDER BY t.rank) AS place FROM top t JOIN documents d ON d.doc_id = t.chunk_id),
+d2 AS (SELECT query_id, chunk_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM d1 WHERE place = 1)"""
+
+
+@query(f"WITH {INDEX}, {scored_sql('s', 'qt')}, {ranked_sql('top', 's', 30)}, {DEDUP} SELECT query_id, chunk_id, document_id, round(score, 6) AS score, rank FROM d2 WHERE rank <= 10")
+def bm25_doc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources stand in for documents here: three times the depth, one hit a source, cut."""
+    hits = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)), bm25.Params(top_k=30))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"))
+    return rounded(fusion.dedup(fusion.hydrate(hits, docs), 10), "score").select("query_id", "chunk_id", "document_id", "score", "rank")
+
+
+@query(f"WITH {INDEX}, {scored_sql('s', 'qt')}, {ranked_sql('top', 's', 15)}, {DEDUP} SELECT query_id, chunk_id, document_id, rank FROM d2")
+def dedup_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"))
+    return fusion.dedup(fusion.hydrate(hits, docs)).select("query_id", "chunk_id", "document_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {INDEX}, {scored_sql('s', 'qt')}, {ranked_sql('top', 's', 15)} SELECT t.query_id, t.rank, d.doc_id AS chunk_id, d.lang, d.source, md5(d.text) AS content FROM top t JOIN documents d ON d.doc_id = t.chunk_id")
+def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir))).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return fusion.hydrate(hits, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", F.md5(F.col("text").cast("binary")).alias("content")))
+
+
+# ---- vectors
+
+DISTANCE = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE)) * (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE))))"
+KNN = f"""vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20),
+vd AS (SELECT q.query_id, e.vec_id AS chunk_id, e.label, {DISTANCE.format(a="q.embedding", b="e.embedding")} AS distance FROM vq q, embeddings e)"""
+CENTROIDS = """dims AS (SELECT label AS cluster_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
+means AS (SELECT cluster_id, dim, avg(CAST(x AS DOUBLE)) AS x FROM dims GROUP BY cluster_id, dim),
+cent AS (SELECT cluster_id, list(x ORDER BY dim) AS centroid FROM means GROUP BY cluster_id)"""
+ASSIGN = f"""{CENTROIDS},
+ad AS (SELECT e.vec_id AS chunk_id, e.embedding, c.cluster_id, {DISTANCE.format(a="e.embedding", b="c.centroid")} AS d FROM embeddings e, cent c),
+idx AS (SELECT chunk_id, embedding, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY d, cluster_id) AS n FROM ad) WHERE n = 1)"""
+
+
+def near_sql(name: str, source: str, k: int) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM {source}) WHERE rank <= {k})"
+
+
+def probe_sql(nprobe: int, limit: int, allowed: str | None = None) -> str:
+    sizes = f"SELECT query_id, cluster_id, count(*) AS size FROM {allowed} a JOIN idx ON idx.chunk_id = a.chunk_id GROUP BY query_id, cluster_id" if allowed else "SELECT q.query_id, cluster_id, count(*) AS size FROM vq q, idx GROUP BY q.query_id, cluster_id"
+    inside = f"JOIN {allowed} a ON a.query_id = p.query_id AND a.chunk_id = i.chunk_id" if allowed else ""
+    return f"""vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20), {ASSIGN}{", " + ALLOWED if allowed else ""},
+sizes AS ({sizes}),
+qc AS (SELECT q.query_id, c.cluster_id, {DISTANCE.format(a="q.embedding", b="c.centroid")} AS d FROM vq q, cent c),
+rk AS (SELECT c.query_id, c.cluster_id, row_number() OVER o AS place, sum(s.size) OVER o - s.size AS before FROM qc c JOIN sizes s ON s.query_id = c.query_id AND s.cluster_id = c.cluster_id
+  WINDOW o AS (PARTITION BY c.query_id ORDER BY round(c.d, 9), c.cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pr AS (SELECT query_id, cluster_id FROM rk WHERE place <= {nprobe} OR before < {limit}),
+fd AS (SELECT p.query_id, i.chunk_id, {DISTANCE.format(a="q.embedding", b="i.embedding")} AS distance FROM pr p JOIN idx i ON i.cluster_id = p.cluster_id JOIN vq q ON q.query_id = p.query_id {inside}),
+{near_sql("top", "fd", limit)}"""
+
+
+ALLOWED = "allowed AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND (q.vec_id + e.vec_id) % 3 = 0 AND e.label < 6)"
+HITS = "query_id, chunk_id, round(distance, 6) AS distance, rank FROM top"
+
+
+def allowed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, all_ = vector_queries(spark, sf_dir).select("query_id"), vectors(spark, sf_dir).where("label < 6").select("chunk_id")
+    return queries.join(all_, (F.col("query_id") + F.col("chunk_id")) % 3 == 0)
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the labels as fixed centroids, so that SQL can replay a search."""
+    dims = vectors(spark, sf_dir).select(F.col("label").alias("cluster_id"), F.posexplode("embedding").alias("dim", "x"))
+    means = dims.groupBy("cluster_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("xs")).select("cluster_id", F.col("xs.x").alias("centroid"))
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    centroids = label_centroids(spark, sf_dir)
+    return vector_index.assign(vectors(spark, sf_dir), centroids), centroids
+
+
+@query(f"WITH {KNN}, {near_sql('top', 'vd', 11)} SELECT {HITS}")
+def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vector_index.brute_force(vector_queries(spark, sf_dir), vectors(spark, sf_dir)), "distance")
+
+
+@query(f"WITH {KNN}, {ALLOWED}, {near_sql('wide', 'vd', 100)}, kept AS (SELECT w.query_id, w.chunk_id, w.distance FROM wide w JOIN allowed a ON a.query_id = w.query_id AND a.chunk_id = w.chunk_id), {near_sql('top', 'kept', 11)} SELECT {HITS}")
+def knn_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vector_index.post_filtered(vector_queries(spark, sf_dir), vectors(spark, sf_dir), allowed_vectors(spark, sf_dir)), "distance")
+
+
+@query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM s)
+SELECT vec_id, round(n, 6) AS norm, round(CASE WHEN n < 1e-10 THEN v[1] ELSE v[1] / n END, 6) + 0.0 AS first, round(CASE WHEN n < 1e-10 THEN v[64] ELSE v[64] / n END, 6) + 0.0 AS last FROM n""")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * F.col("label")).alias("v"))
+    unit = scaled.withColumn("u", vector.normalize(F.col("v")))
+    return unit.select("vec_id", F.round(vector.norm(F.col("v")), 6).alias("norm"), (F.round(F.element_at("u", 1), 6) + 0.0).alias("first"), (F.round(F.element_at("u", 64), 6) + 0.0).alias("last"))
+
+
+@query("""WITH t AS (SELECT vec_id, vec_id // 4 AS grp, CASE WHEN vec_id % 4 < 3 THEN 1 ELSE 0 END AS mask, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
+s AS (SELECT grp, dim, sum(CASE WHEN mask = 1 THEN CAST(x AS DOUBLE) ELSE 0 END) / greatest(sum(mask), 1) AS x FROM t GROUP BY grp, dim)
+SELECT grp, dim, round(x, 6) AS x FROM s""")
+def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four vectors at a time as the token vectors of one text, the last one padding."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("grp"), F.struct("vec_id", "embedding", (F.col("vec_id") % 4 < 3).cast("int").alias("mask")).alias("r"))
+    rows = rows.groupBy("grp").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    return rows.select("grp", F.posexplode(vector.mean_pool(F.col("rs.embedding"), F.col("rs.mask"))).alias("dim", "x")).select("grp", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+@query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), c AS (SELECT count(*) AS total FROM documents),
+i AS (SELECT unnest(range(64)) AS i) SELECT DISTINCT n.doc_id, n.place FROM n, c, i WHERE n.place = (i.i * c.total) // 64""")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return store.numbered(store.stride_sample(docs, 64, "doc_id"), "doc_id").drop("place").join(store.numbered(docs, "doc_id"), "doc_id").withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {ASSIGN} SELECT chunk_id, cluster_id FROM idx")
+def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark, sf_dir)[0].select("chunk_id", "cluster_id")
+
+
+@query(f"WITH {probe_sql(4, 11)} SELECT {HITS}")
+def ivf_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vector_index.search(vector_queries(spark, sf_dir), *clustered(spark, sf_dir)), "distance")
+
+
+@query(f"WITH {probe_sql(1, 120)} SELECT {HITS}")
+def ivf_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One probe, and as many further clusters as 120 results take."""
+    return rounded(vector_index.search(vector_queries(spark, sf_dir), *clustered(spark, sf_dir), k=120, nprobe=1), "distance")
+
+
+@query(f"WITH {probe_sql(2, 11, 'allowed')} SELECT {HITS}")
+def ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vector_index.search(vector_queries(spark, sf_dir), *clustered(spark, sf_dir), nprobe=2, allowed=allowed_vectors(spark, sf_dir)), "distance")
+
+
+@query()
+def ivf_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained clusters: no SQL; tested by what any clustering must satisfy."""
+    all_ = vectors(spark, sf_dir)
+    centroids = vector_index.train(all_)
+    return rounded(vector_index.search(vector_queries(spark, sf_dir), vector_index.assign(all_, centroids), centroids, nprobe=0), "distance")
+
+
+# ---- fusion
+
+BOTH = f"""{INDEX}, {scored_sql("s", "qt")}, {ranked_sql("lex", "s", 15)}, vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 40),
+vd AS (SELECT q.query_id, e.vec_id AS chunk_id, {DISTANCE.format(a="q.embedding", b="e.embedding")} AS distance FROM vq q, embeddings e), {near_sql("vec", "vd", 15)},
+lists AS (SELECT query_id, chunk_id, score AS value, rank, 0.3 AS weight, FALSE AS dist, 0 AS source FROM lex UNION ALL SELECT query_id, chunk_id, distance AS value, rank, 0.7 AS weight, TRUE AS dist, 1 AS source FROM vec)"""
+RRF = "f AS (SELECT query_id, chunk_id, sum(weight / (60 + rank)) AS score FROM lists GROUP BY query_id, chunk_id)"
+RSF = """mm AS (SELECT *, min(value) OVER (PARTITION BY query_id, source) AS lo, max(value) OVER (PARTITION BY query_id, source) AS hi FROM lists),
+f AS (SELECT query_id, chunk_id, sum(weight * CASE WHEN hi - lo <= 1e-6 THEN 1.0 WHEN dist THEN (hi - value) / (hi - lo) ELSE (value - lo) / (hi - lo) END) AS score FROM mm GROUP BY query_id, chunk_id)"""
+
+
+def both_lists(spark: SparkSession, sf_dir: str) -> list[fusion.Ranked]:
+    lexical = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)))
+    near = vector_index.brute_force(vector_queries(spark, sf_dir, 40), vectors(spark, sf_dir), 15)
+    return [fusion.Ranked(lexical, 0.3), fusion.Ranked(near, 0.7, True)]
+
+
+@query(f"WITH {BOTH}, {RRF}, {ranked_sql('top', 'f', 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top")
+def fuse_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fusion.rrf(both_lists(spark, sf_dir)), "score")
+
+
+@query(f"WITH {BOTH}, {RSF}, {ranked_sql('top', 'f', 10, 'TRUE')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top")
+def fuse_rsf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fusion.rsf(both_lists(spark, sf_dir)), "score")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: lexical and vector lists, fused, hydrated."""
+    queries = text_queries(spark, sf_dir).join(vector_queries(spark, sf_dir, 40), "query_id")
+    ensemble = Ensemble([Weighted(Bm25(text_index(spark, sf_dir)), 0.3), Weighted(Vector(vectors(spark, sf_dir)), 0.7), Weighted(Vector(None))], candidate_k=15)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source")
+    return rounded(fusion.hydrate(ensemble.retrieve(queries), docs), "score").select("query_id", "chunk_id", "score", "rank", "lang", "source")
+
+
+ORACLES["ensemble_hybrid"] = f"WITH {BOTH}, {RRF}, {ranked_sql('top', 'f', 10)} SELECT t.query_id, t.chunk_id, round(t.score, 6) AS score, t.rank, d.lang, d.source FROM top t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.query_id IN (SELECT item_id FROM benchmark)"
+QUERIES["ensemble_hybrid"] = flagship
+
+
+@query()
+def lcs_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the pool against the query's: no SQL for the table of a subsequence; tested by brute force."""
+    hits = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)), bm25.Params(top_k=10))
+    pool = fusion.hydrate(hits, text_chunks(spark, sf_dir)).join(text_queries(spark, sf_dir).withColumnRenamed("tokens", "query_tokens"), "query_id")
+    return rerank.rerank(pool.withColumn("rank", F.col("rank").cast("long")), 5).select("query_id", "chunk_id", "lcs", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- text
+
+SEGMENTS = r"list_filter(list_transform(string_split(regexp_replace(text, '([.?!])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {SEGMENTS} AS l FROM documents), u AS (SELECT doc_id, l, unnest(range(len(l))) AS i FROM s) SELECT doc_id, i AS idx, l[i + 1] AS segment FROM u")
+def segment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.segments(F.col("text"))).alias("idx", "segment")).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS n FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_count(F.col("text")).alias("n"))
+
+
+CHUNKS = rf"""WITH RECURSIVE sg AS (SELECT doc_id, {SEGMENTS} AS l FROM documents),
+u AS (SELECT doc_id, len(l) AS m, unnest(range(len(l))) AS pos, unnest(l) AS seg FROM sg),
+n AS (SELECT doc_id, m, pos, seg, len(regexp_extract_all(seg, '\S+')) AS n FROM u),
+p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS pe FROM n),
+e AS (SELECT a.doc_id, a.m, a.pos AS i, a.pe - a.n AS before, greatest(1 + max(CASE WHEN b.pe - (a.pe - a.n) <= 216 THEN b.pos END), a.pos + 1) AS j FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.pos >= a.pos GROUP BY a.doc_id, a.m, a.pos, a.pe, a.n),
+e2 AS (SELECT doc_id, m, i, coalesce(j, i + 1) AS j FROM e),
+o AS (SELECT e.doc_id, e.m, e.i, e.j, max(CASE WHEN z.pe - (b.pe - b.n) >= 128 THEN b.pos END) AS o FROM e2 e JOIN p z ON z.doc_id = e.doc_id AND z.pos = e.j - 1 JOIN p b ON b.doc_id = e.doc_id AND b.pos >= e.i AND b.pos < e.j GROUP BY e.doc_id, e.m, e.i, e.j),
+nx AS (SELECT doc_id, i, j, CASE WHEN j >= m THEN NULL WHEN coalesce(o, i) > i THEN o WHEN j - i > 1 THEN i + 1 ELSE j END AS nxt FROM o),
+walk(doc_id, i, j, nxt, k) AS (SELECT doc_id, i, j, nxt, CAST(0 AS BIGINT) FROM nx WHERE i = 0 UNION ALL SELECT nx.doc_id, nx.i, nx.j, nx.nxt, walk.k + 1 FROM walk JOIN nx ON nx.doc_id = walk.doc_id AND nx.i = walk.nxt)
+SELECT w.doc_id, w.k AS chunk_index, md5(string_agg(p.seg, ' ' ORDER BY p.pos)) AS content FROM walk w JOIN p ON p.doc_id = w.doc_id AND p.pos >= w.i AND p.pos < w.j GROUP BY w.doc_id, w.k"""
+
+
+@query(CHUNKS)
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk.chunk_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+STRIP = rf"regexp_replace(regexp_replace(html, '{tx.HTML_TAG}', '', 'g'), '{tx.HTML_ENTITY}', ' ', 'g')"
+
+
+@query(f"SELECT page_id, md5({STRIP}) AS content FROM pages")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.strip_html(F.col("html")).cast("binary")).alias("content"))
+
+
+def cleaned_sql(text: str) -> str:
+    steps = [(tx.CONTROL, ""), (tx.HTML_TAG, ""), (tx.HTML_ENTITY, " "), (tx.DECORATION, ""), (r"(?im)^\s*(?:-\s*\d+\s*-|\d+\s*/\s*\d+|\[\s*\d+\s*\]|\(\s*\d+\s*\)|페이지\s*\d+|page\s*\d+)\s*$", ""), (r"\.{3,}", "."), ("[-–—]{3,}", "-"), ("_{3,}", ""), (r"[^\S\n]{2,}", " "), (r"\n{3,}", "\n\n")]
+    for pattern, by in steps:
+        if pattern == tx.DECORATION:
+            text = f"translate({text}, '{tx.WIDE}', '{tx.NARROW.replace(chr(39), chr(39) * 2)}')"
+        shown = by if "\n" not in by else "' || chr(10) || chr(10) || '"
+        text = f"regexp_replace({text}, '{pattern}', '{shown}', 'g')"
+    lines = rf"list_transform(string_split(regexp_replace({text}, '\r\n|\r', chr(10), 'g'), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g'))"
+    return rf"regexp_replace(array_to_string({lines}, chr(10)), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, md5({cleaned_sql('html')}) AS content FROM pages")
+def clean_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.clean_document(F.col("html")).cast("binary")).alias("content"))
+
+
+@query(rf"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '{tx.CONTROL}', '', 'g'), '[^\S\n]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM conversations")
+def clean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_query(F.col("text")).alias("content"))
+
+
+URL_TEXT = "text || '  see ' || 'https://example.org/' || doc_id || '?a=b' || chr(10) || 'or www.example.org now'"
+
+
+@query(rf"""SELECT doc_id, strpos(text, 'http://') > 0 OR strpos(text, 'https://') > 0 OR strpos(text, 'www.') > 0 AS had,
+md5(trim(regexp_replace(regexp_replace({URL_TEXT}, '{tx.URL}', '', 'g'), '\s{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS content FROM documents""")
+def strip_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat("text", F.lit("  see https://example.org/"), "doc_id", F.lit("?a=b\nor www.example.org now"))
+    return docs.select("doc_id", tx.contains_url(F.col("text")).alias("had"), F.md5(tx.strip_urls(text).cast("binary")).alias("content"))
+
+
+@query(f"SELECT conv_id, turn, translate(translate(text, '{tx.NARROW.replace(chr(39), chr(39) * 2)}', '{tx.WIDE}'), '{tx.WIDE}', '{tx.NARROW.replace(chr(39), chr(39) * 2)}') AS content FROM conversations")
+def fullwidth_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", tx.fold_width(F.translate("text", tx.NARROW, tx.WIDE)).alias("content"))
+
+
+@query(f"""WITH t AS (SELECT item_id, {TOKENS} AS l FROM benchmark), u AS (SELECT item_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM t)
+SELECT item_id, i AS idx, w || CASE w WHEN 'the' THEN ' der die' WHEN 'and' THEN ' und' ELSE '' END AS words FROM u""")
+def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tx.tokens(F.col("text"))).alias("idx", "w"))
+    words = tx.expand_synonyms(F.array("w"), {"the": ["der", "die"], "and": ["und"]})
+    return rows.select("item_id", F.col("idx").cast("long").alias("idx"), F.array_join(words, " ").alias("words"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role || ':' || text AS line FROM conversations),
+c AS (SELECT conv_id, turn, substr(line, strpos(line, ':') + 1) AS said FROM s WHERE strpos(line, ':') > 0 AND strpos(line, ':') < length(line))
+SELECT conv_id, md5(string_agg(said, chr(10) ORDER BY turn)) AS content, count(*) AS lines FROM c GROUP BY conv_id""")
+def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as call files have them: lines of `speaker: text`, in order."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":"), "text").alias("line")))).alias("t"))
+    lines = F.filter(F.col("t.line"), lambda s: s.rlike("(?s)^[^:]*:."))
+    return rows.select("conv_id", F.md5(records.spoken(F.col("t.line")).cast("binary")).alias("content"), F.size(lines).cast("long").alias("lines"))
+
+
+@query("""SELECT o_orderkey, CAST(epoch_ms(o_orderdate) AS BIGINT) - 32400000 AS day_start, CAST(epoch_ms(o_orderdate) AS BIGINT) - 32400000 + 86399999 AS day_end, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00+09:00' AS iso FROM orders""")
+def korean_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return rows.select("o_orderkey", times.day_start(F.col("d")).alias("day_start"), times.day_end(F.col("d")).alias("day_end"), times.to_iso(times.day_start(F.col("d"))).alias("iso"))
+
+
+# ---- store
+
+CHUNKED = "ch AS (SELECT doc_id * 100 + t.i AS chunk_id, doc_id AS document_id, t.i AS chunk_index FROM documents, (SELECT unnest(range(3)) AS i) t WHERE doc_id % 7 <> 0 AND t.i <= doc_id % 3)"
+
+
+def numbered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three chunks a document, none for each seventh."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 7 != 0")
+    rows = docs.select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("chunk_index"), "n_chars")
+    return rows.select((F.col("document_id") * 100 + F.col("chunk_index")).alias("chunk_id"), "document_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
+@query(f"WITH {CHUNKED} SELECT doc_id AS document_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.document_id = d.doc_id)")
+def orphan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.orphans(documents(spark, sf_dir), numbered_chunks(spark, sf_dir)).select("document_id")
+
+
+@query(f"WITH {CHUNKED} SELECT chunk_id, document_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS n FROM ch) WHERE n = 1")
+def first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.first_chunks(numbered_chunks(spark, sf_dir))
+
+
+@query(f"WITH {CHUNKED} SELECT 'documents' AS kind, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'chunks', count(*) FROM ch WHERE document_id % 5 <> 0")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    gone = docs.where("document_id % 5 = 0").select("document_id")
+    kept = store.delete_documents(docs, numbered_chunks(spark, sf_dir), gone)
+    one, two = (df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in zip(("documents", "chunks"), kept, strict=True))
+    return one.unionByName(two)
+
+
+@query("SELECT doc_id FROM documents WHERE lang <> 'en'")
+def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return store.skip_existing(docs, docs.where("lang = 'en'"), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'moved' ELSE source END AS source FROM documents")
+def update_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("document_id", F.col("document_id") + 1)  # an id of 0 means none
+    changes = docs.where("document_id % 2 = 1").select("document_id", F.lit("xx").alias("lang"), F.when((F.col("document_id") - 1) % 3 == 0, "moved").alias("source"))
+    return store.update(docs, changes, "document_id").select((F.col("document_id") - 1).alias("document_id"), "lang", "source")
+
+
+@query("""WITH new AS (SELECT doc_id AS k, CASE WHEN vec_id % 5 = 0 THEN len(embedding) - 1 ELSE len(embedding) END AS n, embedding[1] AS x FROM embeddings JOIN documents ON doc_id = vec_id)
+SELECT d.doc_id, CASE WHEN n.n = 64 THEN round(CAST(n.x AS DOUBLE), 6) ELSE -1.0 END AS first FROM documents d LEFT JOIN new n ON n.k = d.doc_id""")
+def import_embeddings_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by (document, chunk index); each fifth has a wrong size and is refused."""
+    docs = documents(spark, sf_dir)
+    chunks = docs.select(F.col("document_id").alias("chunk_id"), F.col("external_id").alias("doc_external_id"), F.lit(0).alias("chunk_index"), F.array(F.lit(-1.0).cast("float")).alias("embedding"))
+    new = vectors(spark, sf_dir).join(docs, F.col("chunk_id") == F.col("document_id")).select(F.col("external_id").alias("doc_external_id"), F.lit(0).alias("chunk_index"), "chunk_id", F.when(F.col("chunk_id") % 5 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
+    return store.import_embeddings(chunks, new, 64)[0].select(F.col("chunk_id").alias("doc_id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+@query("""SELECT count(*) FILTER (WHERE vec_id % 5 <> 0 AND vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)) AS matched,
+count(*) FILTER (WHERE vec_id % 5 = 0) AS bad_size, count(*) FILTER (WHERE vec_id % 5 <> 0 AND vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)) AS unmatched FROM embeddings""")
+def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = documents(spark, sf_dir).where("document_id % 2 = 0").select(F.col("document_id").alias("chunk_id"), F.col("external_id").alias("doc_external_id"), F.lit(0).alias("chunk_index"), F.array().cast("array<float>").alias("embedding"))
+    new = vectors(spark, sf_dir).select(F.lit(None).cast("string").alias("doc_external_id"), F.lit(0).alias("chunk_index"), "chunk_id", F.when(F.col("chunk_id") % 5 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
+    return store.import_embeddings(chunks, new, 64)[1]
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN doc_id * 1000 ELSE n_chars END AS created_at FROM documents")
+def bulk_update_created_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("created_at", F.col("n_chars"))
+    patch = docs.where("document_id % 2 = 1").select("external_id", F.when(F.col("document_id") % 4 == 1, F.col("document_id") * 1000).otherwise(0).alias("ts"))
+    return store.set_created_at(docs, patch).select(F.col("document_id").alias("doc_id"), "created_at")
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 <> 1) AS changed FROM documents")
+def bulk_update_source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("source_type", (F.col("document_id") % 2).cast("int"))
+    return store.set_source_type(docs, docs.where("document_id % 3 = 0").select("external_id", F.lit(1).alias("new_type")))[1]
+
+
+@query("""SELECT doc_id, CAST(CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 9 END AS SMALLINT) AS source_type,
+CASE doc_id % 6 WHEN 0 THEN 'call' WHEN 1 THEN 'sms' WHEN 2 THEN 'mms' WHEN 3 THEN 'image' WHEN 4 THEN 'file' END AS name FROM documents""")
+def prefix_source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("call_", "sms_", "mms_", "img_", "document_", "other_")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.element_at(names, (F.col("doc_id") % 6 + 1).cast("int")), "doc_id").alias("external_id"), F.lit(9).alias("source_type"))
+    return store.infer_source_type(docs).select("doc_id", "source_type", times.source_name(F.col("source_type")).alias("name"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 IN (1, 3) AND source = 'src3' AND n_chars >= 200 AND n_chars < 5000")
+def filter_json_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("document_id"), (F.col("document_id") % 5).alias("source_type"), F.col("source").alias("sender"), F.col("n_chars").alias("created_at"))
+    return docs.where(filters.predicate('{"source_type": {"in": [1, 3]}, "sender": "src3", "created_at": {"gte": 200, "lt": 5000}}')).select(F.col("document_id").alias("doc_id"))
+
+
+@query("SELECT event_id FROM events WHERE epoch_ms(ts) BETWEEN 1704844800000 - 32400000 AND 1705708800000 - 32400000 + 86399999")
+def filter_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the Korean days from 2024-01-10 to 2024-01-20."""
+    at = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return table(spark, sf_dir, "events").where(at.between(times.day_start(F.lit("2024-01-10")), times.day_end(F.lit("2024-01-20")))).select("event_id")
+
+
+@query("""WITH t AS (SELECT item_id AS query_id, item_id * 3 AS target FROM benchmark), w AS (SELECT t.query_id, d.lang, d.n_chars FROM t JOIN documents d ON d.doc_id = t.target)
+SELECT w.query_id, count(*) AS n FROM w JOIN documents c ON c.lang = w.lang GROUP BY w.query_id""")
+def filter_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries filtered by their first target: here to documents of its language, as a domain."""
+    domain = F.create_map(*[F.lit(x) for x in ("en", "call", "fr", "sms", "de", "mms", "es", "file")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", domain[F.col("lang")].alias("domain"))
+    truth = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("position"), (F.col("item_id") * 3).alias("target_id"))
+    specs = docs.select(F.col("doc_id").alias("target_id"), F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("end_date"), F.array("domain").alias("domains"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.create_map(*[x for k, v in times.ALIASES.items() for x in (F.lit(k), F.lit(v))])[F.col("domain")].alias("source_type"), F.lit(0).alias("created_at"))
+    return filters.query_filters(specs, truth, chunks).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id AS chunk_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL OR e.label = 0")
+def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")).join(vectors(spark, sf_dir), "chunk_id", "left")
+    chunks = chunks.withColumn("embedding", F.when(F.col("label") == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")))
+    return store.missing_vectors(chunks).select("chunk_id")
+
+
+@query("SELECT doc_id AS chunk_id, '{\"chunk_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"content\":\"' || lang || '-' || source || '\"}' AS json FROM documents ORDER BY doc_id LIMIT 25 OFFSET 50")
+def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", F.concat("lang", F.lit("-"), "source").alias("content"))
+    return store.page(rows, "chunk_id", 50, 25)
+
+
+@query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || '}' AS json FROM documents")
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", store.to_json(docs, "doc_id", "lang", "n_chars").alias("json"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'refined ' || item_id ELSE text END AS content FROM benchmark")
+def export_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("external_id"), F.col("text").alias("content"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("refined "), "item_id")).otherwise("").alias("refined_query"))
+    return store.export_queries(rows).select(F.col("external_id").alias("item_id"), "content")
+
+
+# ---- evaluation
+
+TRUTH = "truth AS (SELECT q.vec_id AS query_id, e.vec_id AS document_id FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id AND e.vec_id % (1 + q.vec_id) = 0 AND q.vec_id % 9 <> 8)"
+EVALUATED = f"""{KNN}, {TRUTH}, {near_sql("top", "vd", 100)},
+nt AS (SELECT v.query_id, (SELECT count(*) FROM truth t WHERE t.query_id = v.query_id) AS n_targets FROM vq v),
+ev AS (SELECT n.query_id, n.n_targets, CASE WHEN n.n_targets > 5 THEN 50 ELSE 5 END AS eval_k FROM nt n),
+ht AS (SELECT e.query_id, e.n_targets, e.eval_k, (SELECT count(*) FROM top p JOIN truth t ON t.query_id = p.query_id AND t.document_id = p.chunk_id WHERE p.query_id = e.query_id AND p.rank <= e.eval_k) AS hits FROM ev e),
+rc AS (SELECT query_id, n_targets, eval_k, hits, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hit, CASE WHEN n_targets > 0 THEN CAST(hits AS DOUBLE) / n_targets ELSE 0.0 END AS recall FROM ht)"""
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the same label as targets, many for some queries and none for others."""
+    all_ = vectors(spark, sf_dir)
+    queries = vector_queries(spark, sf_dir)
+    own = all_.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "label")
+    truth = own.join(all_.select(F.col("chunk_id").alias("document_id"), "label"), "label").where("document_id != query_id and document_id % (1 + query_id) = 0 and query_id % 9 != 8").select("query_id", "document_id")
+    hits = vector_index.brute_force(queries, all_, 100).withColumn("document_id", F.col("chunk_id"))
+    return evaluate.by_query(queries, hits, truth)
+
+
+@query(f"WITH {EVALUATED} SELECT query_id, n_targets, CAST(eval_k AS INTEGER) AS eval_k, hits, CAST(hit AS INTEGER) AS hit, round(recall, 6) AS recall FROM rc")
+def hit_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluated(spark, sf_dir), "recall")
+
+
+@query(f"WITH {EVALUATED} SELECT 'vector' AS method, count(*) AS queries, round(100 * avg(hit), 6) AS hit_rate, round(100 * avg(recall), 6) AS recall FROM rc")
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.summary(evaluated(spark, sf_dir), "vector"), "hit_rate", "recall")
+
+
+@query("WITH t AS (SELECT item_id AS query_id, 'src' || (item_id % 25) || '_' || item_id AS target_id FROM benchmark) SELECT t.query_id, d.doc_id AS document_id FROM t JOIN documents d ON d.source || '_' || d.doc_id = t.target_id")
+def gt_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 25, F.lit("_"), "item_id").alias("target_id"))
+    return evaluate.resolve(truth, documents(spark, sf_dir))
+
+
+@query(f"""WITH {BOTH}, b AS (SELECT query_id, '[' || string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) || ']' AS docs FROM lex WHERE rank <= 5 GROUP BY query_id),
+v AS (SELECT query_id, '[' || string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) || ']' AS docs FROM vec WHERE rank <= 5 GROUP BY query_id)
+SELECT coalesce(b.query_id, v.query_id) AS query_id, b.docs AS bm25, v.docs AS vector FROM b FULL JOIN v ON v.query_id = b.query_id""")
+def detail_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical, near = (r.hits.where("rank <= 5").withColumn("document_id", F.col("chunk_id")) for r in both_lists(spark, sf_dir))
+    merged = evaluate.details({"bm25": lexical, "vector": near})
+    return merged.select("query_id", F.col("results")["bm25"].alias("bm25"), F.col("results")["vector"].alias("vector"))
