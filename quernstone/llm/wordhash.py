@@ -1,7 +1,7 @@
 """Vectorised tokens of Arrow text batches: word spans, 64-bit word hashes and n-gram hashes.
 
 A word's hash is a polynomial of its bytes modulo 2^64, finished with an invertible mixer; it depends on the
-word alone. Arrays are built for about a megabyte of text at a time, so that one very long text or one large
+word alone. Arrays are built for about half a megabyte of text at a time, so that one very long text or one large
 Arrow batch needs no more memory than its own bytes and eight bytes a word.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
@@ -87,10 +87,12 @@ class Words:
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
 
