@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (under 100 bytes a row) may be broadcast; larger ones are shuffled.
@@ -26,3 +26,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def least_hashed(df: DataFrame, n: int, by: list[str], key: str) -> DataFrame:
+    """About the n rows of each group that have the least hash of key, n at most; the hash stays as column `h`.
+
+    Only rows whose hash lies under twice the share that n rows have of their group are ranked, so that no task gets
+    more rows than that, however many rows and tasks there are. Null keys are left out.
+    """
+    df = df.where(F.col(key).isNotNull()).withColumn("h", F.xxhash64(key))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("lh_size"))
+    low, high = float(-(1 << 63)), float(1 << 64)
+    under = low + high * F.least(F.lit(1.0), (2 * n + 100) / F.col("lh_size"))
+    few = (df.join(F.broadcast(sizes.withColumnsRenamed({c: f"lh_{c}" for c in by})), [df[c] == F.col(f"lh_{c}") for c in by]) if by else df.crossJoin(F.broadcast(sizes))).where(F.col("h") <= under)
+    order = Window.partitionBy(*by).orderBy("h", key)
+    return few.withColumn("lh_n", F.row_number().over(order)).where(F.col("lh_n") <= n).select(*df.columns, F.col("lh_n").alias("n"))

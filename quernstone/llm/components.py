@@ -9,7 +9,7 @@ from quernstone.llm.base import cut
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node, root: root is the least node of the component. Only nodes with a link to another node have a row.
+    """node, root: root is the least node of the component. Roots themselves have no row, nor have nodes without links.
 
     Alternating stars: each round ties every node to the least of its neighbours, first from the larger, then
     from the smaller neighbours. The minimum of a node is pre-aggregated, and it is joined back to the links, a

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm import wordhash as wh
+from quernstone.llm.base import cut
 
 WINDOW, PART_WORDS = 13, 1_000_000
 ADDED = ("n_words", "hit_spans", "hit_items")
@@ -164,7 +165,8 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     out = None
     for part in item_parts(items, item, item_text, part_words) or ():
         shared = docs.sparkSession.sparkContext.broadcast(index(docs, text, part, window))
-        out = (source if out is None else out).mapInArrow(step(shared, len(kept)), schema)
+        # a part at a time in memory
+        out = (source if out is None else cut(out)).mapInArrow(step(shared, len(kept)), schema)
     if out is None:
         shared = docs.sparkSession.sparkContext.broadcast({"lengths": {}, "names": []})
         out = source.mapInArrow(step(shared, len(kept)), schema)

@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm import wordhash as wh
+from quernstone.llm.base import least_hashed
 
 FIT_DOCS, FIT_BYTES, TABLE_BYTES, MAX_LANGS = 600, 3_000_000, 96_000_000, 400
 #: Bytes of evidence beyond which more text doesn't make the score surer.
@@ -109,13 +110,12 @@ def table(langs: list[str], texts: dict[str, list[bytes]], order: int, table_byt
 def fit(rows: DataFrame, order: int = 3, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES, table_bytes: int = TABLE_BYTES) -> Model:
     """rows: doc_id, text, lang."""
     rows = rows.where("text is not null and lang is not null and doc_id is not null")
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit_docs).drop("h")
-    langs = sorted(r.lang for r in picked.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages")
+    picked = least_hashed(rows.select("lang", "doc_id"), fit_docs, ["lang"], "doc_id").groupBy("lang", "doc_id").agg(F.min("n").alias("n"))
     # fit_docs rows for each of a bounded number of languages: small enough to broadcast
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).select("lang", "n", "text").toArrow().to_pylist()
+    got = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "n", "text").toArrow().to_pylist()
     texts: dict[str, list[bytes]] = {x: [] for x in langs}
     used = dict.fromkeys(langs, 0)
     for r in sorted(got, key=lambda r: (r["lang"], r["n"], r["text"])):

@@ -226,6 +226,7 @@ def score(df: DataFrame, model: Model, text: str = "text", mix: float = MIX) ->
     width = (1 << 64) // model.shards + 1
     fields = [T.StructField(c, T.LongType()) for c in new[:3]] + [T.StructField(c, T.DoubleType()) for c in new[3:]]
     for i, of in enumerate(model.parts):
+        out = cut(out) if i else out  # a part at a time in memory
         shared = df.sparkSession.sparkContext.broadcast(part(model, of))
         last = i == len(model.parts) - 1
         model.kept.append(shared)

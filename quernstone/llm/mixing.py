@@ -9,8 +9,8 @@ All in DataFrame functions. Keys are spread over RANGES ranges, whatever the sou
 rows is sorted in RANGES parts; totals by (source, range) give each range what stands before it. Only numbers move:
 texts are read once, for their sizes. Sources are ranked the same way, by ranges; the shares need a few sums each round.
 
-Null and empty texts have size 0 and are never taken; null sources are one source. Null and repeated ids share a key
-(equal rows may then be taken in part in either order). Empty tables give empty results. Other columns stay, in `mix`.
+Null and empty texts have size 0 and are never taken; null sources are one source. Null and repeated ids share a key:
+`plan` has a row for each row, and `mix` gives rows that share an id the largest share that one of them has. Empty tables give empty results. Other columns stay, in `mix`.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     key = options.get("key", "doc_id")
     added = ("size", "source_size", "target", "taken")
     chosen = plan(docs, **options).where("taken > 0").groupBy(F.col(key).alias("mix_key")).agg(*[F.max(c).alias(c) for c in added])
-    return docs.drop(*[c for c in docs.columns if c.lower() in added]).join(chosen, F.col(key).eqNullSafe(F.col("mix_key"))).drop("mix_key")
+    words = docs.where(F.col(options.get("text", "text")).cast("string").rlike(r"[^\x20\x09-\x0D]"))
+    return words.drop(*[c for c in docs.columns if c.lower() in added]).join(chosen, F.col(key).eqNullSafe(F.col("mix_key"))).drop("mix_key")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm import wordhash as wh
+from quernstone.llm.base import least_hashed
 
 #: Kinds of identity terms, each swapped within its kind.
 IDENTITY_TERMS = [
@@ -175,7 +176,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 def labelled(docs: DataFrame, labels: DataFrame, held_out: F.Column, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """text, toxic of the labels to learn from: those with the least hash of doc_id, max_fit_rows at most."""
     labels = labels.where("doc_id is not null and toxic is not null").where(~held_out)
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
+    labels = least_hashed(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), max_fit_rows, [], "doc_id").select("doc_id", "toxic")
     return docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "toxic")
 
 
