@@ -21,15 +21,15 @@ WIDE = "".join(map(chr, [*range(0xFF01, 0xFF5F), 0x3000]))
 NARROW = "".join(map(chr, [*range(0x21, 0x7F), 0x20]))
 
 
-@F.pandas_udf("string")
-def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def nfc(text: Column) -> Column:
     """Unicode composition. Spark has no function for it, so an Arrow UDF does it."""
-    return _nfc(text)
+
+    @F.pandas_udf("string")
+    def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return compose(text)
 
 
 def replace_all(text: Column, *steps: tuple[str, str]) -> Column:
@@ -113,13 +113,12 @@ def parse_synonyms(lines: list[str]) -> dict[str, list[str]]:
 def truncate_utf8(text: Column, size: int) -> Column:
     """At most `size` bytes, cut before a character that would not fit whole."""
     raw = F.encode(text, "UTF-8")
-    cut = F.decode(F.substring(raw, 1, size), "UTF-8")
-    whole = F.regexp_replace(cut, F.lit("�+$"), F.lit(""))
-    return F.when(F.octet_length(text) <= size, text).otherwise(whole)
+    # a character starts after byte k unless the next byte continues one; it has four bytes at most
+    ends = [F.when(~F.hex(F.substring(raw, k + 1, 1)).between("80", "BF"), F.substring(raw, 1, k)) for k in range(size, max(-1, size - 4), -1)]
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.decode(F.coalesce(*ends), "UTF-8"))
 
 
-@F.pandas_udf("array<int>")
-def token_hashes(words: pd.Series) -> pd.Series:
+def token_hashes(words: Column) -> Column:
     """32-bit token ids, for exchange with stores that key terms by number; terms themselves are keyed by string here."""
 
     def rotate(x: int, n: int) -> int:
@@ -142,4 +141,8 @@ def token_hashes(words: pd.Series) -> pd.Series:
         h ^= h >> 16
         return h - (1 << 32) if h >> 31 else h
 
-    return words.map(lambda ws: None if ws is None else [one(w) for w in ws])
+    @F.pandas_udf("array<int>")
+    def hashes(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ws: None if ws is None else [one(w) for w in ws])
+
+    return hashes(words)
