@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def common_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Bit-parallel: a bit for each place of a, one addition for each token of b that a has."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = rest = (1 << len(a)) - 1
+    for y in b:
+        if at := places.get(y):
+            found = rest & at
+            rest = (rest + found | rest - found) & full
+    return (full ^ rest).bit_count()
+
+
 def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: rows of the table, one after the other."""
-    zero = F.lit(0)
-
-    def row(before: Column, x: Column) -> Column:
-        # place j gets the best of left, above, and the diagonal if the tokens agree
-        pairs = F.zip_with(b, F.sequence(zero, F.size(b)), lambda y, j: F.struct(y.alias("y"), j.alias("j")))
-        pairs = F.slice(pairs, 1, F.size(b))
-        start = F.array(zero)
-        return F.aggregate(pairs, start, lambda done, p: F.array_append(done, F.when(p["y"] == x, F.get(before, p["j"]) + 1).otherwise(F.greatest(F.element_at(done, -1), F.get(before, p["j"] + 1)))))
-
-    first = F.array_repeat(zero, F.size(b) + 1)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(F.aggregate(a, first, row), -1)).otherwise(0)
+    """Length of the longest common subsequence of two arrays; 0 if one is null.
+
+    An Arrow UDF: a table of rows built by native lambdas copies a row for each cell, which is too slow for long chunks.
+    """
+
+    @F.pandas_udf("int")
+    def lengths(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in pairs:
+            yield pd.Series([0 if x is None or y is None else common_length(x, y) for x, y in zip(left, right, strict=True)], dtype="int32")
+
+    return lengths(a, b)
 
 
 def rerank(hits: DataFrame, limit: int | None = None) -> DataFrame:
