@@ -321,8 +321,9 @@ def missed_links(docs: DataFrame, profile: DataFrame, roots: DataFrame | None, n
         return None
     rows = rows.join(small(mixed, n_mixed), "shingle")
     nodes = profile.where("node is not null").groupBy("node").agg(F.first("bits").alias("bits"))
-    n_bytes = profile.where("node is not null").agg(F.sum(F.length("bits") + 100)).first()[0] or 0
-    rows = rows.join(small(nodes, n_bytes // 100), "node")
+    # 10 MB at most are broadcast; a join by node also leaves equal bitmaps side by side, which the next shuffle packs well
+    n_bytes = nodes.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
+    rows = rows.join(small(nodes, n_bytes // 20), "node")
     # bands a little wider than the ratio of sizes that can link: such sizes lie in one band or in adjacent ones
     band = F.floor(F.log(F.shiftrightunsigned("place", 32).cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
     parts = F.ceil(F.col("n") / (4 * TILE)).cast("int")
