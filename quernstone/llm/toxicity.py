@@ -7,8 +7,8 @@ scores like any other text. A text is the set of its words (A-Z lower-cased; let
 all beyond ASCII make up words); words of fewer than `min_docs` training texts are left out, and an L1 penalty leaves few weights.
 
 At most `max_fit_rows` labels are used, those with the least hash of doc_id: a documented bound, which also bounds
-what is broadcast and what reaches the driver (the word hashes of those texts). The model, a few hundred numbers,
-is broadcast.
+what is broadcast and what the one task that fits gets (the word hashes of those texts). The model, a few hundred
+numbers, goes through the driver and is broadcast.
 
 Null and empty texts get the score of the bias alone. Rows with a null label, a null doc_id or without text aren't
 learned from. Repeated rows get equal scores; repeated labels of a doc_id count once, as the largest. Where all labels
@@ -138,14 +138,23 @@ def solve(sets: list[np.ndarray], labels: np.ndarray, swaps: dict[int, list[int]
 
 
 def fit(rows: DataFrame, min_docs: int = 5, l1: float = 1e-3, l2: float = 1e-5, swap_penalty: float = 1.0, steps: int = 60, kinds: list[list[str]] = IDENTITY_TERMS) -> Model:
-    """rows: text, toxic; as many as `labelled` gives."""
-    got = features(rows.where("text is not null and toxic is not null")).toArrow()
-    sets = [np.frombuffer(x, np.uint64) for x in got.column("words").to_pylist()]
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())  # the sums don't depend on the order of rows
-    labels = np.array([float(x > 0) for x in got.column("toxic").to_pylist()])[order] if order else np.zeros(0)
+    """rows: text, toxic; as many as `labelled` gives. One task solves them, so that no text's words reach the driver."""
     hashed = [[wh.hash_word(t.encode()) for t in kind] for kind in kinds]
     swaps = {a: [b for b in kind if b != a] for kind in hashed for a in kind}
-    return solve([sets[i] for i in order], labels, swaps, min_docs, l1, l2, swap_penalty, steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, toxic = [], []
+        for batch in batches:
+            sets += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            toxic += (batch.column(0).to_numpy(zero_copy_only=False) > 0).tolist()
+        order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())  # the sums don't depend on the order of rows
+        labels = np.array(toxic, float)[order] if order else np.zeros(0)
+        model = solve([sets[i] for i in order], labels, swaps, min_docs, l1, l2, swap_penalty, steps)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([model.words.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "words", "weights"])
+
+    used = features(rows.where("text is not null and toxic is not null"))
+    got = used.repartition(1).mapInArrow(run, "bias double, words binary, weights binary").first()
+    return Model(got.bias, np.frombuffer(got.words, np.uint64), np.frombuffer(got.weights, np.float64)) if got else Model(-2.0)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
