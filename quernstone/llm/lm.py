@@ -1,4 +1,4 @@
-"""LM scoring: word counts and a log-frequency Bloom filter of quantised bigram counts, broadcast.
+"""LM scoring: word counts and a log-frequency Bloom filter of quantised bigram counts, broadcast while small.
 
 A text's tokens are its words (A-Z lower-cased, between white space), then one end. Training counts all words and
 all bigrams (the first word's has a start before it), merged by hash range: each task sends one row for a range, with
@@ -9,8 +9,9 @@ last present level gives the count 2^(level - 1), at most the true one but for t
     mix * count(h w) / count(h) + (1 - mix) * (count(w) + 0.5) / (N + 0.5 * (V + 1))
 with exact word counts; for one history these sum to at most 1 but for false positives.
 
-The model grows with the corpus. It is broadcast in parts of at most `part_bytes`, one after the other over the
-same rows, which keep one level and one count a token in between: bounded memory for any size of model; usual sizes need one part.
+The model grows with the corpus. Up to `part_bytes` it is broadcast. Beyond, probes are dealt by shuffle to the hash ranges:
+texts go in pieces of half a megabyte, each piece asks every range once for its distinct hashes, and a task answers from
+one range at a time. Scores are the same; work, traffic and memory stay in proportion to the corpus, for any size of model.
 
 Null and empty texts have one token, the end. Rows with a null id are learned from. Repeated rows count each time and
 score alike; with nothing to learn from, all counts are 0 and scores follow the same formula. Other columns stay.
@@ -18,11 +19,13 @@ score alike; with nothing to learn from, all counts are 0 and scores follow the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +35,8 @@ from quernstone.llm.base import cut, partitions
 
 MIX, BITS, PROBES, PART_BYTES = 0.4, 8, 4, 256_000_000
 END, START = np.uint64(1), np.uint64(2)  # in place of hashes of words
-FLUSH = 2_000_000
+FLUSH, ASKED = 2_000_000, 1024  # hashes a task holds before it merges them, hashes in a row that asks
+WORDS, PAIRS, TEXTS = 2, 3, 4  # kinds of dealt rows, after the model's 0 and 1
 MERGED = "kind int, shard int, hashes binary, counts binary, total long, size long"
 
 
@@ -148,37 +152,31 @@ def grown(data: bytes) -> np.ndarray:
 @dataclass
 class Model:
     rows: DataFrame
-    parts: list[list[int]]
     shards: int
     total: int
     distinct: int
+    small: bool
     kept: list = field(default_factory=list)
 
+    @property
+    def width(self) -> int:
+        return (1 << 64) // self.shards + 1
+
 
 def fit(texts: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> Model:
     shards = partitions(texts.sparkSession)
     rows = cut(count(texts.select(F.col(text).cast("string")), shards))
-    sizes = rows.select("kind", "shard", (F.length("hashes") + F.length("counts")).alias("n"), "total", "size").collect()  # a row for each shard and kind
-    by_shard: dict[int, int] = dict.fromkeys(range(shards), 0)
-    for r in sizes:
-        by_shard[r.shard] += 2 * r.n if r.kind == 0 else r.n
-    parts: list[list[int]] = [[]]
-    room = part_bytes
-    for shard, n in by_shard.items():
-        if n > room and parts[-1]:
-            parts.append([])
-            room = part_bytes
-        parts[-1].append(shard)
-        room -= n
-    return Model(rows, parts, shards, sum(r.total for r in sizes if r.kind == 0), sum(r.size for r in sizes if r.kind == 0))
-
-
-def part(model: Model, of: list[int]) -> tuple:
-    """What is broadcast of the shards: word hashes, their counts, the filter's bytes, each segment's start and bits."""
+    of_words = F.col("kind") == 0
+    size = F.length("hashes") + F.length("counts")
+    got = rows.agg(F.sum(F.when(of_words, 2 * size).otherwise(size)), F.sum(F.when(of_words, F.col("total"))), F.sum(F.when(of_words, F.col("size")))).first()
+    return Model(rows, shards, got[1] or 0, got[2] or 0, (got[0] or 0) <= part_bytes)
+
+
+def whole(model: Model) -> tuple:
+    """What is broadcast of a small model: word hashes, their counts, the filter's bytes, each segment's start and bits."""
     hashes, counts, filters = [], [], []
     starts, bits, at = np.zeros(model.shards, np.int64), np.zeros(model.shards, np.uint64), 0
-    got = model.rows.where(F.col("shard").isin(of)) if len(of) < model.shards else model.rows
-    for r in sorted(got.select("kind", "shard", "hashes", "counts").toArrow().to_pylist(), key=lambda r: (r["shard"], r["kind"])):
+    for r in sorted(model.rows.select("kind", "shard", "hashes", "counts").toArrow().to_pylist(), key=lambda r: (r["shard"], r["kind"])):
         if r["kind"] == 0:
             hashes.append(np.frombuffer(r["hashes"], np.uint64)), counts.append(grown(r["counts"]))
         else:
@@ -197,10 +195,8 @@ def word_counts(hashes: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np
     return found.astype(np.int64)[back]
 
 
-def probed(filters: np.ndarray, starts: np.ndarray, bits: np.ndarray, width: int, hashes: np.ndarray) -> np.ndarray:
-    """The last present level of each hash, 0 if none."""
-    shard = (hashes // np.uint64(width)).astype(np.int64)
-    base, size = starts[shard], bits[shard]
+def probed(filters: np.ndarray, base: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The last present level of each hash, 0 if none; base and size: the first byte and the bits of its segment."""
     out = np.zeros(len(hashes), np.int8)
     alive = np.flatnonzero(size)
     level = 0
@@ -216,55 +212,137 @@ def probed(filters: np.ndarray, starts: np.ndarray, bits: np.ndarray, width: int
     return out
 
 
+def sums(first: np.ndarray, own: np.ndarray, levels: np.ndarray, total: int, distinct: int, mix: float) -> np.ndarray:
+    """Rows for a run of texts: tokens, base score, score, known tokens. own: each token's count, last of all the start's."""
+    starts_seen, own = own[-1], own[:-1]
+    prior = np.empty_like(own)
+    prior[1:] = own[:-1]
+    prior[first[:-1]] = starts_seen
+    base = (own + 0.5) / (total + 0.5 * (distinct + 1))
+    pairs = np.where((own > 0) & (prior > 0) & (levels > 0), np.exp2(levels - 1.0), 0.0) / np.maximum(prior, 1)
+    logs = np.stack([np.log10(base), np.log10(mix * np.minimum(pairs, 1.0) + (1 - mix) * base), own > 0])
+    return np.vstack([np.diff(first), np.add.reduceat(logs, first[:-1], axis=1)])
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of one key, across batches."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+        yield from (batch.slice(a, b - a) for a, b in pairwise(cuts))
+        rest = batch.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
+def dealt(texts: DataFrame, model: Model, answered: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType, mix: float) -> DataFrame:
+    """Scores without a broadcast: pieces of texts ask the model's ranges, and the answers meet the pieces again.
+
+    Where a piece begins depends on the order of rows, thus the pieces are cut first: a task that runs again finds them as they were.
+    """
+    n, shards, width, total, distinct = len(texts.columns) - 1, model.shards, model.width, model.total, model.distinct
+    own = [T.StructField(f.name, f.dataType) for f in texts.schema.fields]
+    row = "lm_piece long, lm_kind int, lm_shard int, lm_at int, lm_data binary"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = np.empty(batch.num_rows, np.int64)
+            for at, to in wh.spans(wh.text_buffers(batch.column(n))[1]):
+                ids[at:to] = piece = piece + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], [*batch.schema.names, "lm_piece"])
+
+    def rows_out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lm_piece", "lm_kind", "lm_shard", "lm_at", "lm_data"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, 1):
+            piece, rows = run.column(1)[0].as_py(), []
+            ((_, _, words),) = wh.pieces(run.column(0), wh.SPACES)
+            now, before, _ = tokens(words)
+            for kind, found in ((WORDS, np.append(now, START)), (PAIRS, pair_hash(before, now))):
+                hashes = np.unique(found)
+                cuts = np.searchsorted(hashes // np.uint64(width), np.arange(shards + 1, dtype=np.uint64))
+                for shard in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                    for at in range(int(cuts[shard]), int(cuts[shard + 1]), ASKED):
+                        rows.append((piece, kind, shard, at, hashes[at : min(at + ASKED, cuts[shard + 1])].tobytes()))
+            yield rows_out(rows)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = []
+            for piece, kind, shard, at, data, more in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), batch.column(5), strict=True):
+                if shard != held:
+                    held, hashes, counts, filters = shard, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+                if kind == 0:
+                    hashes, counts = np.frombuffer(data.as_buffer(), np.uint64), grown(more.as_py())
+                elif kind == 1:
+                    filters = np.frombuffer(data.as_buffer(), np.uint8)
+                else:
+                    asked = np.frombuffer(data.as_buffer(), np.uint64)
+                    size = np.full(len(asked), 8 * len(filters), np.uint64)
+                    got = shrunk(word_counts(hashes, counts, asked)) if kind == WORDS else probed(filters, np.zeros(len(asked), np.int64), size, asked).tobytes()
+                    rows.append((piece, kind, shard, at, got))
+            yield rows_out(rows)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, n + 1):
+            kinds, data = run.column(n + 2).to_numpy(), run.column(n + 5)
+            a, b = np.searchsorted(kinds, [PAIRS, TEXTS]).tolist()
+            counts = np.concatenate([grown(data[i].as_py()) for i in range(a)])
+            levels = np.concatenate([np.frombuffer(data[i].as_buffer(), np.int8) for i in range(a, b)])
+            asked = run.slice(b)
+            ((_, _, words),) = wh.pieces(asked.column(n), wh.SPACES)
+            now, before, first = tokens(words)
+            back = np.unique(np.append(now, START), return_inverse=True)[1]
+            paired = np.unique(pair_hash(before, now), return_inverse=True)[1]
+            yield answered(asked, sums(first, counts[back], levels[paired], total, distinct, mix))
+
+    placed = cut(texts.mapInArrow(place, T.StructType([*own, T.StructField("lm_piece", T.LongType())])))
+    questions = placed.select("lm_text", "lm_piece").mapInArrow(ask, row).withColumn("lm_more", F.lit(None).cast("binary"))
+    known = model.rows.select(F.lit(-1).cast("long").alias("lm_piece"), F.col("kind").alias("lm_kind"), F.col("shard").alias("lm_shard"), F.lit(0).alias("lm_at"), F.col("hashes").alias("lm_data"), F.col("counts").alias("lm_more"))
+    answers = known.union(questions).repartition(shards, "lm_shard").sortWithinPartitions("lm_shard", "lm_kind").mapInArrow(answer, row)
+    waiting = placed.select("*", F.lit(TEXTS).alias("lm_kind"), F.lit(0).alias("lm_shard"), F.lit(0).alias("lm_at"), F.lit(None).cast("binary").alias("lm_data"))
+    met = waiting.unionByName(answers, allowMissingColumns=True).repartition("lm_piece").sortWithinPartitions("lm_piece", "lm_kind", "lm_shard", "lm_at")
+    return met.mapInArrow(finish, schema)
+
+
 def score(df: DataFrame, model: Model, text: str = "text", mix: float = MIX) -> DataFrame:
     """df with n_tokens, n_known, train_tokens, base_score and score (log10)."""
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keep = [c for c in df.columns if c.lower() not in (*new, "lm_text", "lm_counts", "lm_levels")]
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("lm_text"))
-    n, total = len(keep), model.total
-    least, whole = 0.5, total + 0.5 * (model.distinct + 1)
-    width = (1 << 64) // model.shards + 1
+    keep = [c for c in df.columns if c.lower() not in (*new, "lm_text", "lm_piece", "lm_kind", "lm_shard", "lm_at", "lm_data")]
+    texts = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("lm_text"))
+    n, width, total, distinct = len(keep), model.width, model.total, model.distinct
     fields = [T.StructField(c, T.LongType()) for c in new[:3]] + [T.StructField(c, T.DoubleType()) for c in new[3:]]
-    for i, of in enumerate(model.parts):
-        out = cut(out) if i else out  # a part at a time in memory
-        shared = df.sparkSession.sparkContext.broadcast(part(model, of))
-        last = i == len(model.parts) - 1
-        model.kept.append(shared)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last, first_part=i == 0) -> Iterator[pa.RecordBatch]:
-            hashes, counts, filters, starts, bits = shared.value
-            for batch in batches:
-                blobs, sums = [], []
-                for at, to, words in wh.pieces(batch.column(n), wh.SPACES):
-                    now, before, first = tokens(words)
-                    own = word_counts(hashes, counts, np.append(now, START))
-                    starts_seen, own = own[-1], own[:-1]
-                    prior = np.empty_like(own)
-                    prior[1:] = own[:-1]
-                    prior[first[:-1]] = starts_seen
-                    levels = probed(filters, starts, bits, width, pair_hash(before, now))
-                    if not first_part:
-                        old = [np.frombuffer(b"".join(batch.column(n + k).slice(at, to - at).to_pylist()), kind) for k, kind in ((1, np.int64), (2, np.int64), (3, np.int8))]
-                        own, prior, levels = own + old[0], prior + old[1], levels + old[2]
-                    if not last:
-                        blobs += [[x[a:b].tobytes() for x in (own, prior, levels)] for a, b in zip(first[:-1], first[1:], strict=True)]
-                        continue
-                    base = (own + least) / whole
-                    pairs = np.where((own > 0) & (prior > 0) & (levels > 0), np.exp2(levels - 1.0), 0.0) / np.maximum(prior, 1)
-                    logs = np.stack([np.log10(base), np.log10(mix * np.minimum(pairs, 1.0) + (1 - mix) * base), own > 0])
-                    sums.append(np.vstack([np.diff(first), np.add.reduceat(logs, first[:-1], axis=1)]))
-                if not last:
-                    columns = [pa.array([b[k] for b in blobs], pa.binary()) for k in range(3)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *columns], [*batch.schema.names[: n + 1], "lm_counts", "lm_priors", "lm_levels"])
-                    continue
-                x = np.concatenate(sums, axis=1) if sums else np.zeros((4, 0))
-                long = lambda v: pa.array(v.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], long(x[0]), long(x[3]), long(np.full(x.shape[1], total)), pa.array(x[1]), pa.array(x[2])], [*keep, *new])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in texts.schema.fields[:n]] + fields)
 
-        own_fields = out.schema.fields[: n + 1]
-        kept_fields = [T.StructField(c, T.BinaryType()) for c in ("lm_counts", "lm_priors", "lm_levels")]
-        out = out.mapInArrow(run, T.StructType([*own_fields[:n], *fields] if last else [*own_fields, *kept_fields]))
-    return out
+    def answered(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        long = lambda v: pa.array(v.astype(np.int64))
+        return pa.RecordBatch.from_arrays([*batch.columns[:n], long(x[0]), long(x[3]), long(np.full(x.shape[1], total)), pa.array(x[1]), pa.array(x[2])], [*keep, *new])
+
+    if not model.small:
+        return dealt(texts, model, answered, schema, mix)
+    shared = df.sparkSession.sparkContext.broadcast(whole(model))
+    model.kept.append(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, filters, starts, bits = shared.value
+        for batch in batches:
+            found = [np.zeros((4, 0))]
+            for _, _, words in wh.pieces(batch.column(n), wh.SPACES):
+                now, before, first = tokens(words)
+                asked = pair_hash(before, now)
+                shard = (asked // np.uint64(width)).astype(np.int64)
+                found.append(sums(first, word_counts(hashes, counts, np.append(now, START)), probed(filters, starts[shard], bits[shard], asked), total, distinct, mix))
+            yield answered(batch, np.concatenate(found, axis=1))
+
+    return texts.mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

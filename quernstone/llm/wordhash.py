@@ -102,15 +102,21 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().lower(), np.uint8)
 
 
+def spans(offsets: np.ndarray, size: int = 2 * SEGMENT) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) for runs of rows of about `size` bytes; a longer row is a run of its own."""
+    at, rows = 0, len(offsets) - 1
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def pieces(column: pa.Array, between: np.ndarray, lower: bool = True, size: int = 2 * SEGMENT) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, words) for runs of rows of about `size` bytes; a longer row is a run of its own."""
+    """(first row, row after the last, words) for the runs that `spans` gives."""
     data, offsets = text_buffers(column)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+    for at, to in spans(offsets, size):
         part = data[offsets[at] : offsets[to]]
         yield at, to, Words(lowered(part) if lower else part, offsets[at : to + 1] - offsets[at], between)
-        at = to
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -75,7 +75,7 @@ def test_lm_scores(spark, part_bytes):
     rows = [*texts(80, 2), "", None, "W1 w2\tW3", "never seen words"]
     df = frame(spark, rows)
     model = lm.fit(df.where("doc_id < 60"), part_bytes=part_bytes)
-    assert (len(model.parts) > 1) == (part_bytes == 2000)
+    assert model.small == (part_bytes != 2000)
     got = {r.doc_id: r for r in lm.score(df, model).collect()}
     want = brute_lm(rows[:60], rows)
     for i, (tokens, known, n, base, smooth) in enumerate(want):
@@ -86,17 +86,28 @@ def test_lm_scores(spark, part_bytes):
     assert np.mean([got[i].score - w[4] for i, w in enumerate(want)]) < 0.2
 
 
-def test_lm_messy(messy, empty):
-    model = lm.fit(messy)
+@pytest.mark.parametrize("part_bytes", [lm.PART_BYTES, 0])
+def test_lm_messy(messy, empty, part_bytes):
+    model = lm.fit(messy, part_bytes=part_bytes)
     got = lm.score(messy, model)
     assert got.count() == messy.count()
     assert all(r.n_tokens == 1 for r in got.where("text is null or text = ''").collect())
     assert set(got.columns) == {*messy.columns, "n_tokens", "n_known", "train_tokens", "base_score"}
     assert lm.score(empty, model).count() == 0
-    none = lm.score(messy, lm.fit(empty)).collect()
+    none = lm.score(messy, lm.fit(empty, part_bytes=part_bytes - 1)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
+def test_lm_dealt_equals_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ASKED", 7)  # many rows to a piece and range
+    rows = [*texts(300, 4, 200, 3000), " ".join(f"w{i % 9000}" for i in range(150_000)), "", None]
+    df = frame(spark, rows).repartition(3).withColumn("n", F.col("doc_id") % 2 == 0).withColumn("LM_Piece", F.lit("x"))
+    train = df.where("doc_id % 5 > 0")
+    a, b = (lm.score(df, lm.fit(train, part_bytes=p)).orderBy("doc_id").toPandas() for p in (lm.PART_BYTES, 0))
+    assert a.equals(b)
+    assert len(a) == len(rows)
+
+
 # ---- op2
 
 
