@@ -10,7 +10,7 @@ last present level gives the count 2^(level - 1), at most the true one but for t
 with exact word counts; for one history these sum to at most 1 but for false positives.
 
 The model grows with the corpus. Up to `part_bytes` it is broadcast. Beyond, probes are dealt by shuffle to the hash ranges:
-texts go in pieces of half a megabyte, each piece asks every range once for its distinct hashes, and a task answers from
+texts go in pieces of four megabytes, each piece asks every range once for its distinct hashes, and a task answers from
 one range at a time. Scores are the same; work, traffic and memory stay in proportion to the corpus, for any size of model.
 
 Null and empty texts have one token, the end. Rows with a null id are learned from. Repeated rows count each time and
@@ -35,7 +35,7 @@ from quernstone.llm.base import cut, partitions
 
 MIX, BITS, PROBES, PART_BYTES = 0.4, 8, 4, 256_000_000
 END, START = np.uint64(1), np.uint64(2)  # in place of hashes of words
-FLUSH, ASKED = 2_000_000, 1024  # hashes a task holds before it merges them, hashes in a row that asks
+FLUSH, ASKED, PIECE = 2_000_000, 1024, 1 << 22  # hashes a task holds before it merges them, hashes in a row that asks, bytes of texts that ask together
 WORDS, PAIRS, TEXTS = 2, 3, 4  # kinds of dealt rows, after the model's 0 and 1
 MERGED = "kind int, shard int, hashes binary, counts binary, total long, size long"
 
@@ -55,7 +55,28 @@ def tokens(words: wh.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_hash(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return wh.mix(before * np.uint64(0x9FB21C651E98DF25) + wh.mix(now))
+    """48 bits of hash, above 16 that are 0: bigrams that share one are far rarer than the filter's false positives."""
+    return wh.mix(before * np.uint64(0x9FB21C651E98DF25) + wh.mix(now)) & np.uint64(wh.MASK ^ 0xFFFF)
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes, after their width: of 48 bits as the first and steps in 4 bytes, or in 6 bytes if a step is too wide; else in 8."""
+    if not len(hashes) or np.bitwise_or.reduce(hashes) & np.uint64(0xFFFF):
+        return b"8" + hashes.tobytes()
+    steps = np.diff(hashes) >> np.uint64(16)
+    if steps.max(initial=np.uint64(0)) < 1 << 32:
+        return b"4" + hashes[:1].tobytes() + steps.astype(np.uint32).tobytes()
+    return b"6" + (hashes >> np.uint64(32)).astype(np.uint32).tobytes() + (hashes >> np.uint64(16)).astype(np.uint16).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    kind, data = data[:1], data[1:]
+    if kind == b"8":
+        return np.frombuffer(data, np.uint64)
+    if kind == b"4":
+        return np.cumsum(np.append(np.frombuffer(data[:8], np.uint64), np.frombuffer(data[8:], np.uint32).astype(np.uint64) << np.uint64(16)), dtype=np.uint64)
+    n = len(data) // 6
+    return (np.frombuffer(data[: 4 * n], np.uint32).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(data[4 * n :], np.uint16).astype(np.uint64) << np.uint64(16))
 
 
 def added(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +128,7 @@ def count(texts: DataFrame, shards: int) -> DataFrame:
                 used = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(used), kind, np.int32)), pa.array(np.array(used, np.int32)),
-                    pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()),
+                    pa.array([packed(h[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()),
                     pa.array([shrunk(c[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()),
                 ], ["kind", "shard", "hashes", "counts"])
                 hashes.clear(), counts.clear()
@@ -127,7 +148,7 @@ def count(texts: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for kind, shard, h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 hashes, counts = held.setdefault((kind, shard), ([], []))
-                hashes.append(np.frombuffer(h, np.uint64)), counts.append(grown(c))
+                hashes.append(unpacked(h)), counts.append(grown(c))
         for (kind, shard), (hashes, counts) in sorted(held.items()):
             h, c = added(hashes, counts)
             held[kind, shard] = ([], [])
@@ -252,7 +273,7 @@ def dealt(texts: DataFrame, model: Model, answered: Callable[[pa.RecordBatch, np
         piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = np.empty(batch.num_rows, np.int64)
-            for at, to in wh.spans(wh.text_buffers(batch.column(n))[1]):
+            for at, to in wh.spans(wh.text_buffers(batch.column(n))[1], PIECE):
                 ids[at:to] = piece = piece + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], [*batch.schema.names, "lm_piece"])
 
@@ -263,14 +284,14 @@ def dealt(texts: DataFrame, model: Model, answered: Callable[[pa.RecordBatch, np
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, 1):
             piece, rows = run.column(1)[0].as_py(), []
-            ((_, _, words),) = wh.pieces(run.column(0), wh.SPACES)
+            ((_, _, words),) = wh.pieces(run.column(0), wh.SPACES, size=PIECE)
             now, before, _ = tokens(words)
             for kind, found in ((WORDS, np.append(now, START)), (PAIRS, pair_hash(before, now))):
                 hashes = np.unique(found)
                 cuts = np.searchsorted(hashes // np.uint64(width), np.arange(shards + 1, dtype=np.uint64))
                 for shard in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     for at in range(int(cuts[shard]), int(cuts[shard + 1]), ASKED):
-                        rows.append((piece, kind, shard, at, hashes[at : min(at + ASKED, cuts[shard + 1])].tobytes()))
+                        rows.append((piece, kind, shard, at, packed(hashes[at : min(at + ASKED, cuts[shard + 1])])))
             yield rows_out(rows)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +306,7 @@ def dealt(texts: DataFrame, model: Model, answered: Callable[[pa.RecordBatch, np
                 elif kind == 1:
                     filters = np.frombuffer(data.as_buffer(), np.uint8)
                 else:
-                    asked = np.frombuffer(data.as_buffer(), np.uint64)
+                    asked = unpacked(data.as_py())
                     size = np.full(len(asked), 8 * len(filters), np.uint64)
                     got = shrunk(word_counts(hashes, counts, asked)) if kind == WORDS else probed(filters, np.zeros(len(asked), np.int64), size, asked).tobytes()
                     rows.append((piece, kind, shard, at, got))
@@ -298,7 +319,7 @@ def dealt(texts: DataFrame, model: Model, answered: Callable[[pa.RecordBatch, np
             counts = np.concatenate([grown(data[i].as_py()) for i in range(a)])
             levels = np.concatenate([np.frombuffer(data[i].as_buffer(), np.int8) for i in range(a, b)])
             asked = run.slice(b)
-            ((_, _, words),) = wh.pieces(asked.column(n), wh.SPACES)
+            ((_, _, words),) = wh.pieces(asked.column(n), wh.SPACES, size=PIECE)
             now, before, first = tokens(words)
             back = np.unique(np.append(now, START), return_inverse=True)[1]
             paired = np.unique(pair_hash(before, now), return_inverse=True)[1]

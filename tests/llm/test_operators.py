@@ -98,8 +98,17 @@ def test_lm_messy(messy, empty, part_bytes):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
+@pytest.mark.parametrize("bits,shift", [(64, 0), (48, 16), (30, 16), (44, 16), (1, 16)])
+def test_lm_packed(bits, shift):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 2, 1000):
+        hashes = np.unique(rng.integers(0, (1 << bits) - 1, n, np.uint64, endpoint=True) << np.uint64(shift))
+        assert np.array_equal(lm.unpacked(lm.packed(hashes)), hashes)
+
+
 def test_lm_dealt_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(lm, "ASKED", 7)  # many rows to a piece and range
+    monkeypatch.setattr(lm, "PIECE", 20_000)  # many pieces, and a text longer than one
     rows = [*texts(300, 4, 200, 3000), " ".join(f"w{i % 9000}" for i in range(150_000)), "", None]
     df = frame(spark, rows).repartition(3).withColumn("n", F.col("doc_id") % 2 == 0).withColumn("LM_Piece", F.lit("x"))
     train = df.where("doc_id % 5 > 0")
