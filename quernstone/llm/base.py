@@ -35,9 +35,11 @@ def least_hashed(df: DataFrame, n: int, by: list[str], key: str) -> DataFrame:
     more rows than that, however many rows and tasks there are. Null keys are left out.
     """
     df = df.where(F.col(key).isNotNull()).withColumn("h", F.xxhash64(key))
-    sizes = df.groupBy(*by).agg(F.count("*").alias("lh_size"))
     low, high = float(-(1 << 63)), float(1 << 64)
-    under = low + high * F.least(F.lit(1.0), (2 * n + 100) / F.col("lh_size"))
-    few = (df.join(F.broadcast(sizes.withColumnsRenamed({c: f"lh_{c}" for c in by})), [df[c] == F.col(f"lh_{c}") for c in by]) if by else df.crossJoin(F.broadcast(sizes))).where(F.col("h") <= under)
+    if by:
+        sizes = df.groupBy(*by).agg(F.count("*").alias("lh_size")).withColumnsRenamed({c: f"lh_{c}" for c in by})
+        few = df.join(F.broadcast(sizes), [df[c] == F.col(f"lh_{c}") for c in by]).where(F.col("h") <= low + high * F.least(F.lit(1.0), (2 * n + 100) / F.col("lh_size")))
+    else:
+        few = df.where(F.col("h") <= low + high * min(1.0, (2 * n + 100) / max(1, df.count())))
     order = Window.partitionBy(*by).orderBy("h", key)
     return few.withColumn("lh_n", F.row_number().over(order)).where(F.col("lh_n") <= n).select(*df.columns, F.col("lh_n").alias("n"))
