@@ -137,6 +137,15 @@ def test_ivf(spark, vectors, tmp_path):
     assert "PartitionFilters: [isnotnull(cluster_id" in plan
 
 
+def test_brute_force_in_blocks(spark, vectors, monkeypatch):
+    queries = vectors.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    allowed = queries.select("query_id").join(vectors.select("chunk_id"), F.expr("(query_id + chunk_id) % 3 = 0"))
+    whole = [sorted(vector_index.brute_force(queries, vectors, 7, a).collect()) for a in (None, allowed)]
+    monkeypatch.setattr(vector_index, "QUERY_BATCH", 9)
+    assert [sorted(vector_index.brute_force(queries, vectors, 7, a).collect()) for a in (None, allowed)] == whole
+    assert len(whole[0]) == 280
+
+
 def test_ensemble(spark, index):
     queries = spark.createDataFrame([(1, ["a", "d"], [0.0, 1.0])], "query_id long, tokens array<string>, embedding array<double>")
     vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [5.0, 5.0])], "chunk_id long, embedding array<double>")
