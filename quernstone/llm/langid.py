@@ -4,13 +4,15 @@ For each language, a tree of byte contexts up to `order` bytes long is counted o
 length of a byte is that of the longest context in the tree: a byte seen there costs its share of the counts,
 with as many counts kept for an escape as the context has kinds of bytes (method C); any other byte costs the
 escape and then its cost in the context that is one byte shorter, at last 1/256 for each byte. Statistics stay
-frozen while texts are scored, so the cost of a byte depends on its last `order` bytes alone, and all costs are
-laid out in one table by (longest context that any language has, byte): exact code lengths, read by lookup.
-A byte that no language has seen shares one row of the table, for its cost is the same wherever it stands.
+frozen while texts are scored, so the cost of a byte depends on its last `order` bytes alone. Kept are the grams that
+languages have seen, with their code lengths, and the escapes of the contexts; a gram that isn't found costs the escape and is
+looked up one byte shorter: exact code lengths. Languages are kept by fours, so the tables grow with their number, not its square.
+A byte that no language has seen costs the same wherever it stands but for the escapes.
 
 The trees are fitted on at most `fit_docs` texts of each language, those with the least hash of doc_id, and of
-those on the first `fit_bytes` bytes (whole texts, until they reach that size): documented bounds. What is broadcast
-is bounded by `table_bytes`; if the table would be larger, the order is lowered until it fits.
+those on the first `fit_bytes` bytes (whole texts, until they reach that size): documented bounds. The order is the same for
+any number of languages. What is broadcast at a time is bounded by `table_bytes` (or one four of languages): larger models score the
+texts in passes, one after the other.
 
 Texts that are null or have no letter get `und` and score 0. Ties go to the language first in code-point order.
 With nothing to learn from, all is `und`. Empty tables, repeated rows and null ids need no care; other columns stay.
@@ -28,11 +30,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm import wordhash as wh
-from quernstone.llm.base import least_hashed
+from quernstone.llm.base import cut, least_hashed
 
 FIT_DOCS, FIT_BYTES, TABLE_BYTES, MAX_LANGS = 600, 3_000_000, 96_000_000, 400
-#: Bytes of evidence beyond which more text doesn't make the score surer.
-EVIDENCE = 64
+#: Bytes of evidence beyond which more text doesn't make the score surer. Languages whose grams are kept together.
+EVIDENCE, TOGETHER = 64, 4
+
+
+@dataclass
+class Part:
+    """Grams of a few languages. Lists are by context length, from 1; rows of costs are by language."""
+
+    n: int  # languages
+    grams: list[np.ndarray]  # sorted numbers of contexts with their next symbol
+    costs: list[np.ndarray]  # (gram, language) -> bits
+    contexts: list[np.ndarray]  # sorted numbers
+    escapes: list[np.ndarray]  # (context, language) -> bits
+
+    def bytes(self) -> int:
+        return sum(x.nbytes for xs in (self.grams, self.costs, self.contexts, self.escapes) for x in xs)
 
 
 @dataclass
@@ -40,22 +56,42 @@ class Model:
     langs: list[str]
     order: int
     symbols: np.ndarray  # byte -> symbol; the last symbol stands for all bytes never seen
-    contexts: np.ndarray  # number of a history of `order` symbols -> row
-    costs: np.ndarray  # (row, symbol, language) -> bits
+    costs: np.ndarray  # (0, symbol, language) -> bits without a context
+    parts: list[Part]  # of the languages in their order
+    table_bytes: int = TABLE_BYTES
+
+    def passes(self) -> list[Model]:
+        """Models of some of the languages, of table_bytes or one part at most."""
+        groups: list[list[Part]] = []
+        for part in self.parts:
+            if not groups or sum(x.bytes() for x in groups[-1]) + part.bytes() > self.table_bytes:
+                groups.append([])
+            groups[-1].append(part)
+        out, at = [], 0
+        for group in groups:
+            to = at + sum(x.n for x in group)
+            out.append(Model(self.langs[at:to], self.order, self.symbols, self.costs[:, :, at:to], group, self.table_bytes))
+            at = to
+        return out
+
+
+def grams(texts: list[bytes], symbols: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the runs of k + 1 symbols, and their counts."""
+    found = []
+    for t in texts:
+        s = symbols[np.frombuffer(t, np.uint8)].astype(np.int64)
+        total = np.zeros(max(0, len(s) - k), np.int64)
+        for j in range(k + 1):
+            total = total * size + s[j : j + len(total)]
+        found.append(total)
+    return np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
 
 
 def counts(texts: list[bytes], symbols: np.ndarray, size: int, order: int) -> list[dict[tuple[int, ...], np.ndarray]]:
     """By context length: context -> counts of the next symbol."""
     trees: list[dict[tuple[int, ...], np.ndarray]] = []
-    coded = [symbols[np.frombuffer(t, np.uint8)].astype(np.int64) for t in texts]
     for k in range(order + 1):
-        grams = []
-        for s in coded:
-            total = np.zeros(max(0, len(s) - k), np.int64)
-            for j in range(k + 1):
-                total = total * size + s[j : j + len(total)]
-            grams.append(total)
-        values, n = np.unique(np.concatenate(grams or [np.zeros(0, np.int64)]), return_counts=True)
+        values, n = grams(texts, symbols, size, k)
         tree: dict[tuple[int, ...], np.ndarray] = {}
         for value, count in zip(values.tolist(), n.tolist(), strict=True):
             context, symbol = divmod(value, size)
@@ -68,43 +104,42 @@ def counts(texts: list[bytes], symbols: np.ndarray, size: int, order: int) -> li
     return trees
 
 
+def part(texts: list[list[bytes]], symbols: np.ndarray, size: int, order: int) -> tuple[np.ndarray, Part]:
+    """(symbol, language) -> bits without a context, and the longer grams. texts: by language."""
+    out, shorter = Part(len(texts), [], [], [], []), np.full((size, len(texts)), 8.0)
+    known = np.arange(size)  # numbers of the rows of `shorter`
+    for k in range(order + 1):
+        own = [grams(t, symbols, size, k) for t in texts]
+        all_ = np.unique(np.concatenate([g for g, _ in own])) if k else known
+        contexts = np.unique(all_ // size)
+        costs = shorter[np.searchsorted(known, all_ % size**k)] if k else shorter
+        escapes = np.zeros((len(contexts), len(texts)))
+        for j, (g, n) in enumerate(own):
+            at, place = np.searchsorted(contexts, g // size), np.searchsorted(all_, g)
+            total, kinds = (np.bincount(at, w, len(contexts)) for w in (n, None))
+            has = kinds > 0
+            escapes[has, j] = -np.log2(kinds[has] / (total + kinds)[has])
+            costs[:, j] += escapes[np.searchsorted(contexts, all_ // size), j]
+            costs[place, j] = -np.log2(n / (total + kinds)[at])
+        if k:
+            out.grams.append(all_)
+            out.costs.append(costs.astype(np.float32))
+            out.contexts.append(contexts)
+            out.escapes.append(escapes.astype(np.float32))
+        else:
+            base = costs.copy()
+        shorter, known = costs, all_
+    return base, out
+
+
 def table(langs: list[str], texts: dict[str, list[bytes]], order: int, table_bytes: int) -> Model:
     seen = np.unique(np.frombuffer(b"".join(t for x in texts.values() for t in x), np.uint8))
     size = len(seen) + 1
     symbols = np.full(256, size - 1, np.int64)
     symbols[seen] = np.arange(size - 1)
-    while True:
-        trees = {x: counts(texts[x], symbols, size, order) for x in langs}
-        rows: dict[tuple[int, ...], int] = {}
-        for k in range(order + 1):
-            for x in langs:
-                for context in trees[x][k]:
-                    rows.setdefault(context, len(rows))
-        rows.setdefault((), len(rows))
-        if order == 0 or len(rows) * size * len(langs) * 4 + 4 * size**order <= table_bytes:
-            break
-        order -= 1
-    costs = np.zeros((len(rows), size, len(langs)), np.float32)
-    for j, x in enumerate(langs):
-        done: dict[tuple[int, ...], np.ndarray] = {}
-        for k in range(order + 1):
-            for context in sorted((c for c in rows if len(c) == k), key=rows.__getitem__):
-                shorter = done[context[1:]] if k else np.full(size, 8.0)
-                found = trees[x][k].get(context)
-                if found is not None:
-                    total, kinds = found.sum(), np.count_nonzero(found)
-                    with np.errstate(divide="ignore"):
-                        shorter = np.where(found > 0, -np.log2(found / (total + kinds)), shorter - np.log2(kinds / (total + kinds)))
-                done[context] = shorter
-                costs[rows[context], :, j] = shorter
-    # the row of each history: that of its longest suffix in any tree
-    contexts = np.full(size**order, rows[()], np.int32)
-    for k in range(1, order + 1):
-        own = [(c, r) for c, r in rows.items() if len(c) == k]
-        last = np.array([sum(d * size ** (k - 1 - i) for i, d in enumerate(c)) for c, _ in own], np.int64)
-        number = np.array([r for _, r in own], np.int32)
-        contexts.reshape(-1, size**k)[:, last] = number if len(own) else 0
-    return Model(langs, order, symbols, contexts, costs)
+    made = [part([texts[x] for x in langs[i : i + TOGETHER]], symbols, size, order) for i in range(0, len(langs), TOGETHER)]
+    costs = np.concatenate([np.zeros((size, 0)), *[base for base, _ in made]], axis=1)[None].astype(np.float32)
+    return Model(langs, order, symbols, costs, [p for _, p in made], table_bytes)
 
 
 def fit(rows: DataFrame, order: int = 3, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES, table_bytes: int = TABLE_BYTES) -> Model:
@@ -125,11 +160,34 @@ def fit(rows: DataFrame, order: int = 3, fit_docs: int = FIT_DOCS, fit_bytes: in
     return table(langs, texts, order, table_bytes)
 
 
+def places(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which numbers are known, and the places of those."""
+    if not len(known):
+        return np.zeros(len(asked), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    found = known[at] == asked
+    return found, at[found]
+
+
+def part_costs(p: Part, base: np.ndarray, history: np.ndarray, coded: np.ndarray, order: int) -> np.ndarray:
+    """Bits by byte and language. What isn't found after a context pays its escape and is looked up after a shorter one."""
+    size, cost = len(base), np.zeros((len(coded), p.n), np.float32)
+    left = np.arange(len(coded))
+    for k in range(order, 0, -1):
+        context = history[left] % size**k
+        found, at = places(p.grams[k - 1], context * size + coded[left])
+        cost[left[found]] += p.costs[k - 1][at]
+        left, context = left[~found], context[~found]
+        found, at = places(p.contexts[k - 1], context)
+        cost[left[found]] += p.escapes[k - 1][at]
+    cost[left] += base[coded[left]]
+    return cost
+
+
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits by text and language. The first bytes of a text have what precedes as a history of unseen bytes."""
     size, n = model.costs.shape[1], len(offsets) - 1
     out = np.zeros((n, len(model.langs)))
-    flat = model.costs.reshape(-1, len(model.langs))
     coded = model.symbols[data]
     start = np.repeat(offsets[:-1], np.diff(offsets))
     at = np.arange(len(data)) - start
@@ -139,10 +197,12 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
         before[k:] = coded[:-k] if k < len(data) else before[k:]
         before[at < k] = size - 1
         history = history * size + before
-    cost = flat[model.contexts[history].astype(np.int64) * size + coded]
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(cost, offsets[full], axis=0, dtype=np.float64)
+    full, first = np.flatnonzero(np.diff(offsets) > 0), 0
+    for p in model.parts:
+        if len(full):
+            cost = part_costs(p, model.costs[0, :, first : first + p.n], history, coded, model.order)
+            out[full, first : first + p.n] = np.add.reduceat(cost, offsets[full], axis=0, dtype=np.float64)
+        first += p.n
     return out
 
 
@@ -151,8 +211,9 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     keep = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
     source = F.when(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.col(f"`{text}`").cast("string"))
     df = df.select(*[F.col(f"`{c}`") for c in keep], source.alias("lang_pred"))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast((model.langs, model.order, model.symbols, model.contexts, model.costs))
+    through = df.schema.fields[:-1]
+    state = T.StructType([T.StructField("text", T.StringType()), T.StructField("name", T.StringType()), T.StructField("bits", T.DoubleType()), T.StructField("total", T.DoubleType())])
+    schema = T.StructType([*through, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def lengths(model: Model, column: pa.Array) -> np.ndarray:
         data, offsets = wh.text_buffers(column)
@@ -173,21 +234,41 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             at = to
         return total / np.maximum(1, np.diff(offsets) / EVIDENCE)[:, None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
-        langs = model.langs
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            known = ~column.is_null().to_numpy(zero_copy_only=False)
-            names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            if langs:
-                bits = lengths(model, column)
-                best = bits.argmin(axis=1)
-                share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-                names[known], scores[known] = np.array(langs, object)[best][known], share[known]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
-
-    return df.mapInArrow(run, schema)
+    def least(names: list[str], bits: np.ndarray, before: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first name of least bits, its bits, and the sum of all likelihoods in parts of its own; with those of passes before."""
+        name, low = np.array(names, object)[bits.argmin(axis=1)], bits.min(axis=1)
+        total = np.exp2(low[:, None] - bits).sum(axis=1)
+        if before is None:
+            return name, low, total
+        old, was, sum_ = (before.field(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        both = np.minimum(low, was)
+        return np.where(low < was, name, old), both, sum_ * np.exp2(both - was) + total * np.exp2(both - low)
+
+    models = model.passes()
+    for i, one in enumerate(models or [model]):
+        shared, last = df.sparkSession.sparkContext.broadcast(one), i + 1 >= len(models)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, i=i, last=last) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                before = batch.column(batch.num_columns - 1) if i else None
+                column = before.field(0) if i else batch.column(batch.num_columns - 1)
+                name, low, total = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                if model.langs:
+                    name, low, total = least(model.langs, lengths(model, column), before)
+                if last:
+                    known = ~column.is_null().to_numpy(zero_copy_only=False) & (total > 0)
+                    names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+                    names[known], scores[known] = name[known], 1 / total[known]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+                else:
+                    states = pa.StructArray.from_arrays([column, pa.array(name, pa.string()), pa.array(low), pa.array(total)], ["text", "name", "bits", "total"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], states], [*keep, "lang_pred"])
+
+        if last:
+            return df.mapInArrow(run, schema)
+        df = cut(df.mapInArrow(run, T.StructType([*through, T.StructField("lang_pred", state)])))
+        shared.unpersist()
 
 
 def held_out() -> F.Column:

@@ -427,6 +427,22 @@ def test_code_lengths_by_definition():
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_languages_keep_their_order(spark):
+    """Many languages in a small space: the same costs, and the same predictions in several passes."""
+    vocab = {f"l{x}": [bytes(random.Random(100 * x + i).choices(range(97, 123), k=6)) for i in range(50)] for x in range(9)}
+    own = {x: [b" ".join(random.Random(i).choices(words, k=40)) for i in range(5)] for x, words in vocab.items()}
+    large, few = (langid.table(list(own), own, 3, n) for n in (10**9, 1000))
+    assert large.order == few.order == 3 and len(large.passes()) == 1 and len(few.passes()) == 3
+    data = b" ".join(t for x in own.values() for t in x)
+    ends = np.array([0, 500, len(data)])
+    alone = [langid.code_lengths(langid.table([x], {x: own[x]}, 3, 10**9), np.frombuffer(data, np.uint8), ends)[:, 0] for x in own]
+    assert np.allclose(langid.code_lengths(few, np.frombuffer(data, np.uint8), ends), np.array(alone).T, rtol=1e-5)
+    df = frame(spark, [" ".join(random.Random(9).choices([w.decode() for w in words], k=3)) for words in vocab.values()] + [None, ""])
+    a, b = (langid.predict(df, m).orderBy("doc_id").collect() for m in (large, few))
+    assert [r.lang_pred for r in a] == [r.lang_pred for r in b] == [*vocab, "und", "und"]
+    assert [r.score for r in a] == pytest.approx([r.score for r in b])
+
+
 def test_language_messy(messy, empty, monkeypatch):
     model = langid.fit(messy)
     got = {(r.doc_id, r.text): r.lang_pred for r in langid.predict(messy, model).collect()}
