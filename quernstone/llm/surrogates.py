@@ -9,7 +9,10 @@ address is replaced as a whole, so that addresses that share one still do, and k
 its gender (told by the honorific) and the surname's letters follow their script.
 
 Collision checks: all distinct entities get a candidate; where two share one, or one is itself an entity
-of the corpus, all but the least take the next attempt, until no two agree. Those few later attempts are joined
+of the corpus, all but the least take the next attempt, until no two agree. After ROUNDS attempts a format counts as full and its
+length gives way: an address's octets are drawn from 0 to 255 whatever their lengths, and the local part of an e-mail address, the last
+group of a phone number, a card number, a secret or a surname gets one more character with each attempt. Only IPv4 addresses end: a corpus
+that has nearly all four billion fails. Those few later attempts are joined
 back to their documents; all others need no join. Entities are pre-aggregated; texts move only in that join, which is a broadcast while the
 list is short.
 
@@ -41,6 +44,8 @@ HINT = r"[0-9@]|(?:" + "|".join(x[:3] for x in MALE + FEMALE) + ")"
 # Alphabets by script.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäáçéèêëíîïñóôöúùûü", "ÀÂÄÁÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзиклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "0123456789"]
 ADDED = ("n_entities",)
+#: Attempts in an entity's own format, and those in wider ones (each leaves at most the share of the wider format that is taken).
+ROUNDS, WIDER = 64, 64
 
 
 def kind(m: Column) -> Column:
@@ -83,28 +88,31 @@ def ints(text: Column) -> Column:
 
 def surrogate(m: Column, key: Column, attempt: Column) -> Column:
     stream = lambda what: F.sha2(F.concat_ws("\u0001", key, kind(what), what, attempt.cast("string")), 256)
-    own = alike(m, stream(m))
+    own, k = alike(m, stream(m)), kind(m)
+    wider = attempt > ROUNDS
+    last_letter = F.lower(F.right(m, F.lit(1)))
+    more = F.when(k == "mail", "a").when(k == "name", F.when(last_letter.rlike(r"\p{L}"), last_letter).otherwise("a")).otherwise("0")
+    tail = F.when(wider, alike(F.repeat(more, attempt - ROUNDS), stream(F.concat(m, F.lit("\u0001tail"))))).otherwise("")
     domain = F.regexp_extract(m, r"@(.*?)\.[^.]*$", 1)
     # a domain's surrogate doesn't depend on the attempt: it is shared
-    mail = F.concat(alike(F.substring_index(m, "@", 1), stream(m)), F.lit("@"), alike(domain, F.sha2(F.concat_ws("\u0001", key, F.lit("domain"), domain), 256)), F.lit("."), F.substring_index(m, ".", -1))
-    octets = F.transform(F.split(m, r"\."), lambda o, i: F.when(F.length(o) == 1, draw(stream(m), i, 10)).when(F.length(o) == 2, 10 + draw(stream(m), i, 90)).otherwise(100 + draw(stream(m), i, 156)).cast("string"))
-    body = F.regexp_replace(own, "[0-9]$", "")
-    card = F.when(luhn_rest(ints(m)) == 0, F.concat(body, luhn_rest(F.concat(ints(body), F.array(F.lit(0)))).cast("string"))).otherwise(own)
-    phone = F.concat(F.regexp_extract(m, r"^[^(]*", 0), alike(F.regexp_extract(m, r"\(.*$", 0), stream(m)))
+    mail = F.concat(alike(F.substring_index(m, "@", 1), stream(m)), tail, F.lit("@"), alike(domain, F.sha2(F.concat_ws("\u0001", key, F.lit("domain"), domain), 256)), F.lit("."), F.substring_index(m, ".", -1))
+    octets = F.transform(F.split(m, r"\."), lambda o, i: F.when(wider, draw(stream(m), i, 256)).when(F.length(o) == 1, draw(stream(m), i, 10)).when(F.length(o) == 2, 10 + draw(stream(m), i, 90)).otherwise(100 + draw(stream(m), i, 156)).cast("string"))
+    body = F.concat(F.regexp_replace(own, "[0-9]$", ""), tail)
+    card = F.when(luhn_rest(ints(m)) == 0, F.concat(body, luhn_rest(F.concat(ints(body), F.array(F.lit(0)))).cast("string"))).otherwise(F.concat(own, tail))
+    phone = F.concat(F.regexp_extract(m, r"^[^(]*", 0), alike(F.regexp_extract(m, r"\(.*$", 0), stream(m)), tail)
     words = F.split(m, " ")
     given = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), draw(stream(m), F.lit(-1), len(names)) + 1)
     title = F.element_at(words, 1)
     person = F.when(title.rlike("^(?:" + "|".join(FEMALE) + r")\.?$"), given(FEMALE_NAMES)).otherwise(given(MALE_NAMES))
-    last = alike(F.element_at(words, -1), stream(m))
+    last = F.concat(alike(F.element_at(words, -1), stream(m)), tail)
     name = F.when(F.size(words) > 2, F.concat_ws(" ", title, person, last)).otherwise(F.concat_ws(" ", title, last))
-    k = kind(m)
-    return F.when(k == "mail", mail).when(k == "ip", F.array_join(octets, ".")).when(k == "card", card).when(k == "phone", phone).when(k == "name", name).otherwise(alike(m, stream(m), ["0123456789", "abcdef", "ABCDEF"]))
+    return F.when(k == "mail", mail).when(k == "ip", F.array_join(octets, ".")).when(k == "card", card).when(k == "phone", phone).when(k == "name", name).otherwise(F.concat(alike(m, stream(m), ["0123456789", "abcdef", "ABCDEF"]), tail))
 
 
-def later_attempts(entities: DataFrame, key: Column, rounds: int = 64) -> DataFrame | None:
+def later_attempts(entities: DataFrame, key: Column) -> DataFrame | None:
     """entity, attempt of those whose first candidate collides; null if there is none."""
     state = cut(entities.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), key, F.lit(0)).alias("s")))
-    for _ in range(rounds):
+    for _ in range(ROUNDS + WIDER):
         holders = state.groupBy("s").agg(F.min(F.struct("attempt", "entity")).alias("holder"), F.count("*").alias("n"))
         taken = state.select(F.col("entity").alias("s"), F.lit(True).alias("real"))
         lost = holders.join(taken, "s", "left").where("n > 1 or real").select("s", "holder", F.coalesce("real", F.lit(False)).alias("real"))
@@ -116,7 +124,7 @@ def later_attempts(entities: DataFrame, key: Column, rounds: int = 64) -> DataFr
         moves = F.col("real") | (F.col("real").isNotNull() & ((F.col("attempt") != F.col("holder.attempt")) | (F.col("entity") != F.col("holder.entity"))))
         step = state.join(small(lost, n), "s", "left").select("entity", (F.col("attempt") + F.when(moves, 1).otherwise(0)).alias("attempt"))
         state = cut(step.select("entity", "attempt", surrogate(F.col("entity"), key, F.col("attempt")).alias("s")))
-    raise ValueError("entities of some format are too many for distinct surrogates")
+    raise ValueError("addresses are too many for distinct surrogates")
 
 
 def replace(df: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -148,6 +148,31 @@ def test_surrogates_stay_distinct(spark):
     assert all(a == b for a, b in found) and len({a for a, _ in found}) == len(ips) and not {a for a, _ in found} & set(ips)
 
 
+def test_surrogates_of_full_formats(spark, monkeypatch):
+    """All of a format's candidates, or more than half of them, are entities: the rest can't keep its length."""
+    monkeypatch.setattr(surrogates, "ROUNDS", 3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{i}{j}@foo.com" for i in range(10) for j in range(10)]
+    names = [f"Mr {a.upper()}{b}" for a in letters for b in letters]
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(6) for b in range(10) for c in range(10) for d in range(10)]
+    old = mails + names + ips
+    got = {r.doc_id: r.text for r in surrogates.replace(frame(spark, [f"at {x}, {x}" for x in old]), "key").collect()}
+    new = [re.fullmatch(r"at (.+), \1", got[i])[1] for i in range(len(old))]
+    assert len(set(new)) == len(old) and not set(new) & set(old)
+    assert all(re.fullmatch(r"\d{2}[a-z]*@[a-z]{3}\.com", x) for x in new[:100]) and all(re.fullmatch("Mr [A-Z][a-z]+", x) for x in new[100:776])
+    assert all(len(x.split(".")) == 4 and all(int(o) < 256 for o in x.split(".")) for x in new[776:])
+
+
+def test_wider_surrogates_keep_their_kind(spark):
+    old = ["4111 1111 1111 1111", "+1 (017) 555-7713", "f3ef4d6b2755a36d7d9c25bd72c4d5f6", "Herr Ivan Петров", "Mr O-"]
+    df = spark.createDataFrame([(x,) for x in old], "m string").select("m", surrogates.surrogate(F.col("m"), F.lit("key"), F.lit(surrogates.ROUNDS + 2)).alias("s"))
+    card, phone, secret, name, dash = (r.s for r in df.collect())
+    digits = card.replace(" ", "")
+    assert len(digits) == 18 and sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1], 1)) % 10 == 0
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{6}", phone) and re.fullmatch("[0-9a-f]{32}[0-9]{2}", secret)
+    assert re.fullmatch(r"Herr \w+ [А-Я][а-я]{7}", name) and re.fullmatch("Mr [A-Z]-[a-z]{2}", dash)
+
+
 def test_surrogates_messy(messy, empty):
     got = surrogates.replace(messy, "key")
     assert got.count() == messy.count() and set(got.columns) == set(messy.columns)
