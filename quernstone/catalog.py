@@ -323,7 +323,7 @@ def ivf_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained clusters: no SQL; tested by what any clustering must satisfy."""
     all_ = vectors(spark, sf_dir)
     centroids = vector_index.train(all_)
-    return rounded(vector_index.search(vector_queries(spark, sf_dir), vector_index.assign(all_, centroids), centroids, nprobe=0), "distance")
+    return rounded(vector_index.bounded_search(vector_queries(spark, sf_dir), vector_index.assign(all_, centroids), centroids), "distance")
 
 
 # ---- fusion

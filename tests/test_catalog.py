@@ -37,3 +37,8 @@ def test_lcs_rerank(spark):
     chunks = {r.chunk_id: r.tokens for r in catalog.text_chunks(spark, SF).collect()}
     for r in catalog.lcs_rerank(spark, SF).collect():
         assert r.lcs == brute_lcs(queries[r.query_id], chunks[r.chunk_id])
+
+
+def test_ivf_kmeans_recall(spark):
+    exact = {(r.query_id, r.chunk_id) for r in catalog.knn_l2_topk(spark, SF).collect()}
+    assert {(r.query_id, r.chunk_id) for r in catalog.ivf_kmeans(spark, SF).collect()} == exact
