@@ -17,9 +17,11 @@ sets are one node from the start, known by a hash of the whole set, so copies ar
 
 Groups of near copies meet in tiles and give a forest of links, never all pairs; no partner or candidate is dropped.
 
+What is joined to a node's prefix rows is dealt by (node, slice of its prefix), so that a very long text is no hot key.
+
 Null and empty texts, and texts without words, have an empty set and link with nothing. With fewer words than a
 shingle the whole sequence is the one shingle. Repeated rows (and ids) are joined like equal texts; null ids have no part in the least id.
-Empty tables give empty results. Other columns stay (columns named like added ones are replaced).
+Empty tables give empty results. Ids may be of any type that has an order. Only doc_id and the text are read: other columns don't come back.
 """
 
 from __future__ import annotations
@@ -28,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quernstone.llm import wordhash as wh
-from quernstone.llm.base import cut, small
+from quernstone.llm.base import BROADCAST_ROWS, cut, small
 from quernstone.llm.components import components
 
 TILE, SKETCH, SLICES, LEAST = 1024, 1 << 20, 16, 512  # nodes, counters, parts they are summed in, places of a bitmap
-KEYS, ROWS = 4, 2
+KEYS, ROWS, PREFIX_ROWS = 4, 2, 512  # of a node, prefix rows that are joined in one task
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -93,17 +97,26 @@ class Forest:
         self.of[self.of == self.of[j]] = self.of[i]
 
 
+def text_hash(text: Column) -> Column:
+    """Which text of its id a row has; null is like empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def profiles(docs: DataFrame, text: str, n: int, salt: int) -> DataFrame:
-    """For each text: its position's other columns, size, node, check, keys, bits; besides, rows of sketch counts."""
+    """For each text: its id and hash, size, node, check, keys, bits; besides, rows of sketch counts."""
+    ids = docs.select("doc_id").schema[0]
+    own = T.StructType([T.StructField("doc_id", ids.dataType), T.StructField("text_hash", T.LongType())])
+    found = T._parse_datatype_string("n_shingles long, node long, check long, keys array<long>, bits binary, slice int, at binary, counts binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(SKETCH, np.uint32), set()
-        names = ["doc_id", "n_shingles", "node", "check", "keys", "bits", "slice", "at", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        arrays = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        names = ["doc_id", "text_hash", "n_shingles", "node", "check", "keys", "bits", "slice", "at", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        arrays = lambda own, columns: pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+        id_type = to_arrow_type(ids.dataType)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for _, s in shingle_sets(batch.column(1), n):
+            for _, s in shingle_sets(batch.column(2), n):
                 node = node_of(s, salt) if len(s) else None
                 rows[0].append(len(s)), rows[1].append(node), rows[2].append(node_of(s, salt + 1000) if len(s) else None)
                 rows[3].append(least_keys(s) if len(s) else None), rows[4].append(bitmap(s).tobytes() if len(s) else None)
@@ -111,15 +124,15 @@ def profiles(docs: DataFrame, text: str, n: int, salt: int) -> DataFrame:
                     seen.add(node) if len(seen) < 200_000 else seen.clear()
                     np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             none = [None] * batch.num_rows
-            yield arrays([batch.column(0).to_pylist(), *rows, none, none, none])
+            yield arrays(batch.columns[:2], [*rows, none, none, none])
         used = np.flatnonzero(sketch)
         cuts = np.searchsorted(used, np.arange(SLICES + 1) * (SKETCH // SLICES))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
                 where, counts = np.diff(used[a:b], prepend=i * (SKETCH // SLICES)).astype(np.uint16), np.minimum(sketch[used[a:b]], 65535).astype(np.uint16)
-                yield arrays([[None]] * 6 + [[i], [pa.compress(where.tobytes(), "zstd", asbytes=True)], [pa.compress(counts.tobytes(), "zstd", asbytes=True)]])
+                yield arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64())], [[None]] * 5 + [[i], [pa.compress(where.tobytes(), "zstd", asbytes=True)], [pa.compress(counts.tobytes(), "zstd", asbytes=True)]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, keys array<long>, bits binary, slice int, at binary, counts binary")
+    return docs.select("doc_id", text_hash(F.col(text)), F.col(text).cast("string")).mapInArrow(run, T.StructType([*own.fields, *found.fields]))
 
 
 def sketch_of(profile: DataFrame) -> np.ndarray:
@@ -314,23 +327,34 @@ def tile_pairs(groups_of: Iterator[list[pa.Array]], percent: int) -> Iterator[tu
 def missed_links(docs: DataFrame, profile: DataFrame, roots: DataFrame | None, n_roots: int, text: str, n: int, percent: int, salt: int) -> DataFrame | None:
     """Step 2: a, b between components of step 1."""
     rows = shared_prefixes(prefixes(docs, text, n, percent, salt, sketch_of(profile)))
-    rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(small(roots, n_roots), "node", "left").select("shingle", "node", "place", F.coalesce("root", "node").alias("root"))
-    rows = cut(rows)
+    nodes = profile.where("node is not null").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
+    # a node's row stands once for each slice of its prefix, whose rows know the size too
+    slices = lambda size: F.ceil((size + 1 - F.ceil(percent * size / F.lit(100))) / F.lit(PREFIX_ROWS)).cast("int")
+    sliced = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), slices(F.col("size")) - 1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("shingle"), slices(F.shiftrightunsigned("place", 32))).cast("int"))
+    if roots is None:
+        rows = rows.withColumn("root", F.col("node"))
+    else:
+        known = small(roots, n_roots) if n_roots <= BROADCAST_ROWS else sliced(roots.join(nodes.select("node", "size"), "node")).drop("size")
+        rows = rows.join(known, ["node", "part"] if "part" in known.columns else "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = cut(rows.select("shingle", "node", "part", "place", "root"))
     mixed = cut(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n"))
     if not (n_mixed := mixed.count()):
         return None
     rows = rows.join(small(mixed, n_mixed), "shingle")
-    nodes = profile.where("node is not null").groupBy("node").agg(F.first("bits").alias("bits"))
     # 10 MB at most are broadcast; a join by node also leaves equal bitmaps side by side, which the next shuffle packs well
     n_bytes = nodes.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
-    rows = rows.join(small(nodes, n_bytes // 20), "node")
+    if n_bytes // 20 <= BROADCAST_ROWS:
+        rows = rows.drop("part").join(F.broadcast(nodes.drop("size")), "node")
+    else:
+        rows = rows.join(sliced(nodes).drop("size"), ["node", "part"]).drop("part")
     # bands a little wider than the ratio of sizes that can link: such sizes lie in one band or in adjacent ones
     band = F.floor(F.log(F.shiftrightunsigned("place", 32).cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
     parts = F.ceil(F.col("n") / (4 * TILE)).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", band + F.when(F.col("home"), 0).otherwise(1))
-    cell = F.least("part", "other") * (1 << 20) + F.greatest("part", "other")
-    rows = rows.select("shingle", "band", cell.cast("int").alias("cell"), "node", "place", "root", "home", "part", "bits")
+    cell = F.least("part", "other").cast("long") * (1 << 20) + F.greatest("part", "other")
+    rows = rows.select("shingle", "band", cell.alias("cell"), "node", "place", "root", "home", "part", "bits")
     rows = rows.repartition("shingle", "band", "cell").sortWithinPartitions("shingle", "band", "cell")
     pairs = cut(rows.mapInArrow(lambda batches: pairs_out(tile_pairs(groups(batches, 3), percent)), "a long, b long").distinct())
     if not (n_pairs := pairs.count()):
@@ -351,8 +375,8 @@ def missed_links(docs: DataFrame, profile: DataFrame, roots: DataFrame | None, n
     return both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
 
 
-def classes(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id that is reached by links, itself included."""
+def linked(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node of each row; rows of one component have one node, rows without words none."""
     salt = 0
     while True:
         profile = cut(profiles(docs, text, n, salt))
@@ -369,12 +393,31 @@ def classes(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80)
     more = missed_links(docs, profile, roots, n_roots, text, n, percent, salt)
     if more is not None and not (more := cut(more)).isEmpty():
         roots = components(links.union(more), "a", "b")
-    texts = texts.select("doc_id", "n_shingles", "node")
+    texts = texts.select("doc_id", "text_hash", "n_shingles", "node")
     if roots is not None:
-        texts = texts.join(small(roots, 2 * n_roots + 1_000), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("node"))
+        texts = texts.join(small(roots, 2 * n_roots + 1_000), "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
+    return texts
+
+
+def classes(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id that is reached by links, itself included."""
+    texts = linked(docs, text, n, percent)
     least = texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id"))
     return texts.join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def surplus(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, nc_hash) of rows beside the first of their component, and of components' first rows that are repeated whole.
+
+    First is the least doc_id, null last, then the least hash of the text.
+    """
+    texts = linked(docs, text, n, percent).where("node is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    rows = cut(texts.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    first = rows.groupBy("node").agg(F.min(order).alias("first"))
+    marked = rows.join(first, "node").select("doc_id", F.col("text_hash").alias("nc_hash"), "n", order.eqNullSafe(F.col("first")).alias("stays"))
+    return marked.where("not stays").select("doc_id", "nc_hash"), marked.where("stays and n > 1").select("doc_id", "nc_hash")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), n=4, percent=85)

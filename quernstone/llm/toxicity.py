@@ -3,7 +3,8 @@
 Training takes labelled texts. Where a text names an identity group, a copy is made in which each identity term
 is swapped for another term of its kind; the squared change of the score between text and copy is added to the
 loss, with weight `swap_penalty`. So weights of identity terms shrink towards each other, and a neutral mention of a group
-scores like any other text. A text is the set of its words (A-Z lower-cased; letters, digits and
+scores like any other text. A term that no training text has weighs 0, as it does when texts are scored: swapping it in changes the score
+by all that the other one weighs. `kinds` are the terms: by default some in English, German, French and Spanish, of four kinds of groups. A text is the set of its words (A-Z lower-cased; letters, digits and
 all beyond ASCII make up words); words of fewer than `min_docs` training texts are left out, and an L1 penalty leaves few weights.
 
 At most `max_fit_rows` labels are used, those with the least hash of doc_id: a documented bound, which also bounds
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from quernstone.llm import wordhash as wh
 from quernstone.llm.base import least_hashed
 
-#: Kinds of identity terms, each swapped within its kind.
+#: Kinds of identity terms, each swapped within its kind; by language English, German, French, Spanish.
 IDENTITY_TERMS = [
     ["women", "men", "girls", "boys"],
     ["woman", "man", "girl", "boy"],
@@ -41,10 +42,37 @@ IDENTITY_TERMS = [
     ["black", "white", "asian", "latino"],
     ["deaf", "blind", "disabled"],
     ["old", "young", "elderly"],
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["frau", "mann"],
+    ["sie", "er"],
+    ["schwul", "lesbisch", "bisexuell", "queer", "hetero"],
+    ["muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch"],
+    ["muslime", "christen", "juden", "hindus", "buddhisten"],
+    ["schwarz", "weiß", "asiatisch"],
+    ["taub", "blind", "behindert"],
+    ["alt", "jung"],
+    ["femmes", "hommes", "filles", "garçons"],
+    ["femme", "homme", "fille", "garçon"],
+    ["elle", "il"],
+    ["gai", "lesbienne", "bisexuel", "hétéro"],
+    ["musulman", "chrétien", "juif", "hindou", "bouddhiste"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes"],
+    ["noir", "blanc", "asiatique"],
+    ["sourd", "aveugle", "handicapé"],
+    ["vieux", "jeune"],
+    ["mujeres", "hombres", "chicas", "chicos"],
+    ["mujer", "hombre", "chica", "chico"],
+    ["ella", "él"],
+    ["homosexual", "lesbiana", "bisexual", "heterosexual"],
+    ["musulmán", "cristiano", "judío", "hindú", "budista"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas"],
+    ["negro", "blanco", "asiático"],
+    ["sordo", "ciego", "discapacitado"],
+    ["viejo", "joven"],
 ]
 #: What stands between words: all of ASCII but letters and digits.
 BETWEEN = wh.SYMBOLS
-MAX_FIT_ROWS = 8_000
+MAX_FIT_ROWS = 20_000
 
 
 @dataclass
@@ -77,21 +105,26 @@ class Problem:
     """Log loss of bags of words, with the squared score changes of swapped copies."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, d: int, pairs: np.ndarray, penalty: float):
-        """pairs: (word that stands, word that replaces it), a row for each swap."""
+        """pairs: (word that stands, word that replaces it), a row for each swap; word d is one that weighs 0."""
         self.rows, self.cols, self.labels, self.n, self.d = rows, cols, labels, len(labels), d
         self.pairs, self.penalty = pairs, penalty / len(labels)
 
+    def changes(self, w: np.ndarray) -> np.ndarray:
+        w = np.append(w, 0.0)
+        return w[self.pairs[:, 0]] - w[self.pairs[:, 1]]
+
     def loss(self, w: np.ndarray, b: float) -> float:
         z = np.bincount(self.rows, w[self.cols], self.n) + b
-        change = w[self.pairs[:, 0]] - w[self.pairs[:, 1]]
+        change = self.changes(w)
         return float(np.mean(np.logaddexp(0, z) - self.labels * z) + self.penalty * (change @ change))
 
     def slope(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         z = np.bincount(self.rows, w[self.cols], self.n) + b
         rest = (1 / (1 + np.exp(-z)) - self.labels) / self.n
-        change = 2 * self.penalty * (w[self.pairs[:, 0]] - w[self.pairs[:, 1]])
+        change = 2 * self.penalty * self.changes(w)
         g = np.bincount(self.cols, rest[self.rows], self.d)
-        return g + np.bincount(self.pairs[:, 0], change, self.d) - np.bincount(self.pairs[:, 1], change, self.d), float(rest.sum())
+        swapped = np.bincount(self.pairs[:, 0], change, self.d + 1) - np.bincount(self.pairs[:, 1], change, self.d + 1)
+        return g + swapped[: self.d], float(rest.sum())
 
     def solve(self, w: np.ndarray, b: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
         """Accelerated proximal gradient with backtracking."""
@@ -112,26 +145,38 @@ class Problem:
         return w, b
 
 
+def swap_table(kinds: list[list[str]]) -> dict[int, list[int]]:
+    """Term to the terms that may replace it, as hashes; a term of two kinds has both."""
+    out: dict[int, list[int]] = {}
+    for kind in kinds:
+        hashed = [wh.hash_word(t.encode()) for t in kind]
+        for a in hashed:
+            out[a] = sorted({*out.get(a, []), *hashed} - {a})
+    return out
+
+
 def solve(sets: list[np.ndarray], labels: np.ndarray, swaps: dict[int, list[int]], min_docs: int, l1: float, l2: float, swap_penalty: float, steps: int) -> Model:
     """An L1 fit picks the words; a second fit of those alone, with a slight L2, sets their weights unshrunk."""
     if len(sets) == 0 or labels.min() == labels.max():
         return Model(-2.0)
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     words, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    terms = np.array(sorted({*swaps, *(w for to in swaps.values() for w in to)}), np.uint64)
+    terms = np.array(sorted(swaps), np.uint64)
     kept = (df >= min_docs) | np.isin(words, terms)
     w, b = np.zeros(0), float(np.log(labels.mean() / (1 - labels.mean())))
     for fit in (0, 1):
         use = kept[inverse]
         number, used = np.cumsum(kept) - 1, words[kept]
         index = {int(x): i for i, x in enumerate(used)}
-        pairs = [(int(c), index[o]) for c in number[inverse[use & np.isin(words, terms)[inverse]]] for o in swaps[int(used[c])] if o in index]
+        # a swap for a term that has no weight changes the score by all that the old one weighs
+        pairs = [(int(c), index.get(o, len(used))) for c in number[inverse[use & np.isin(words, terms)[inverse]]] for o in swaps[int(used[c])]]
         problem = Problem(rows[use], number[inverse[use]], labels, len(used), np.array(pairs, int).reshape(-1, 2), swap_penalty)
         w, b = problem.solve(np.zeros(len(used)) if fit == 0 else w, b, 0.0 if fit else l1, l2 if fit else 0.0, steps)
         if fit == 0:
             picked = np.flatnonzero(w)
             # a swap counts in the second fit too if either of its terms was picked
-            swapped = used[np.unique(problem.pairs[np.isin(problem.pairs, picked).any(axis=1)])]
+            swapped = np.unique(problem.pairs[np.isin(problem.pairs, picked).any(axis=1)])
+            swapped = used[swapped[swapped < len(used)]]
             kept = np.isin(words, used[picked]) | np.isin(words, swapped)
             w = w[kept[np.searchsorted(words, used)]]
     return Model(b, words[kept], w)
@@ -139,8 +184,7 @@ def solve(sets: list[np.ndarray], labels: np.ndarray, swaps: dict[int, list[int]
 
 def fit(rows: DataFrame, min_docs: int = 5, l1: float = 1e-3, l2: float = 1e-5, swap_penalty: float = 1.0, steps: int = 60, kinds: list[list[str]] = IDENTITY_TERMS) -> Model:
     """rows: text, toxic; as many as `labelled` gives. One task solves them, so that no text's words reach the driver."""
-    hashed = [[wh.hash_word(t.encode()) for t in kind] for kind in kinds]
-    swaps = {a: [b for b in kind if b != a] for kind in hashed for a in kind}
+    swaps = swap_table(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, toxic = [], []

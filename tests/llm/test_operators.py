@@ -340,17 +340,23 @@ def brute_classes(rows, n, percent):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("n", "percent", "tile"), [(4, 85, 1024), (5, 80, 1024), (4, 85, 4), (2, 50, 3)])
-def test_jaccard_classes(spark, monkeypatch, n, percent, tile):
-    monkeypatch.setattr(jaccard, "TILE", tile)
-    rng = random.Random(7)
-    rows = texts(60, 8, 80, 400)
-    for _ in range(120):  # chains of edits, so that classes hold texts that don't link themselves
+def near_texts(n, seed):
+    """Chains of edits, so that classes hold texts that don't link themselves."""
+    rng = random.Random(seed)
+    rows = texts(60, seed + 1, 80, 400)
+    for _ in range(n):
         words = rng.choice(rows).split()
         for _ in range(rng.randrange(3)):
             if words:
                 words[rng.randrange(len(words))] = rng.choice(["new", "other", "w1"])
         rows.append(" ".join(words))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent", "tile"), [(4, 85, 1024), (5, 80, 1024), (4, 85, 4), (2, 50, 3)])
+def test_jaccard_classes(spark, monkeypatch, n, percent, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = near_texts(120, 7)
     rows += ["", None, "A b", "a B", "a b c d e f g h i j k l m n"] + [" ".join(f"common{i}" for i in range(30)) + f" own{k}" for k in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame(spark, rows), n=n, percent=percent).collect()}
     assert got == brute_classes(rows, n, percent)
@@ -364,6 +370,28 @@ def test_jaccard_needs_its_exact_step(spark, monkeypatch):
     assert got == brute_classes(rows, 2, 85) and len({c for _, c in got.values()}) == 1
 
 
+def test_jaccard_slices_of_long_prefixes(spark, monkeypatch):
+    """Prefixes of many slices, with nothing broadcast, find what brute force finds."""
+    monkeypatch.setattr(jaccard, "PREFIX_ROWS", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "small", lambda df, rows: df)
+    rows = near_texts(120, 21)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame(spark, rows), n=4, percent=85).collect()}
+    assert got == brute_classes(rows, 4, 85)
+
+
+def test_jaccard_ids_of_other_types(spark):
+    df = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "x")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.classes(df).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_surplus(spark):
+    t = "one two three four five six seven"
+    df = spark.createDataFrame([(2, t), (2, t), (1, t), (None, t), (3, ""), (3, ""), (4, "other words stand in this text"), (4, "other words stand in this text")], "doc_id long, text string")
+    gone, repeated = jaccard.surplus(df)
+    assert sorted((r.doc_id is None, r.doc_id) for r in gone.collect()) == [(False, 2), (True, None)] and [r.doc_id for r in repeated.collect()] == [4]
+
+
 def test_jaccard_messy(messy, empty):
     got = jaccard.classes(messy.select("doc_id", "text", "Component_ID"))
     assert got.count() == messy.count()
@@ -505,6 +533,70 @@ def test_toxicity(spark):
     assert held[10] == held[11] < 0.5
 
 
+def toxic_rows(spark, n=400, seed=5):
+    """Toxic texts name `he` far more often than others; `she` occurs nowhere."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        toxic = k % 3 == 0
+        words = rng.sample([f"v{i}" for i in range(60)], 8) + (["vile"] if toxic and rng.random() < 0.6 else []) + (["he"] if rng.random() < (0.9 if toxic else 0.2) else [])
+        rows.append((int(toxic), " ".join(words)))
+    return spark.createDataFrame(rows, "toxic int, text string"), rows
+
+
+def test_unseen_terms_count(spark):
+    df, _ = toxic_rows(spark)
+    he = toxicity.wh.hash_word(b"he")
+
+    def weight(penalty):
+        model = toxicity.fit(df, swap_penalty=penalty)
+        at = np.searchsorted(model.words, np.uint64(he))
+        return model.weights[at] if at < len(model.words) and model.words[at] == he else 0.0
+
+    free, some, much = (weight(p) for p in (0.0, 1.0, 50.0))
+    assert free > some > abs(much) and abs(much) < 0.1 * free
+
+
+def test_toxicity_by_definition(spark):
+    """The fitted weights minimise the stated loss, and scores follow from them, in plain Python."""
+    df, rows = toxic_rows(spark, 240, 9)
+    penalty, l2, kinds = 2.0, 1e-5, [["he", "she"]]
+    model = toxicity.fit(df, swap_penalty=penalty, l2=l2, steps=400, kinds=kinds)
+    names = {toxicity.wh.hash_word(w.encode()): w for _, t in rows for w in t.split()}
+    weights = {names[int(h)]: float(x) for h, x in zip(model.words, model.weights, strict=True)}
+    assert "he" in weights and "she" not in weights
+
+    def loss(weights, bias):
+        total = 0.0
+        for y, t in rows:
+            z = bias + sum(weights.get(w, 0.0) for w in set(t.split()))
+            total += np.log1p(np.exp(z)) - y * z
+            for w in set(t.split()) & {"he", "she"}:
+                total += penalty * (weights.get(w, 0.0) - weights.get("she" if w == "he" else "he", 0.0)) ** 2
+        return total / len(rows) + l2 / 2 * sum(x * x for x in weights.values())
+
+    best = loss(weights, model.bias)
+    for w in weights:
+        for step in (-0.02, 0.02):
+            assert loss({**weights, w: weights[w] + step}, model.bias) >= best - 1e-6
+    assert loss(weights, model.bias + 0.02) >= best - 1e-6 and loss(weights, model.bias - 0.02) >= best - 1e-6
+    for r, (_, t) in zip(toxicity.score(df, model).collect(), rows, strict=True):
+        z = model.bias + sum(weights.get(w, 0.0) for w in set(r.text.lower().split()))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z))) and r.text == t
+
+
+def test_swaps_on_the_tables(spark, monkeypatch):
+    """Training texts name some of the terms, and each of them is penalised."""
+    found = []
+    real = toxicity.Problem
+    monkeypatch.setattr(toxicity, "Problem", lambda *a: found.append(a[4]) or real(*a))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.features(toxicity.labelled(docs, labels, toxicity.held_out()).where("text is not null")).collect()
+    sets = [np.frombuffer(r.words, np.uint64) for r in rows]
+    toxicity.solve(sets, np.array([float(r.toxic > 0) for r in rows]), toxicity.swap_table(toxicity.IDENTITY_TERMS), 5, 1e-3, 1e-5, 1.0, 5)
+    assert len(found[0]) > 0
+
+
 def test_toxicity_messy(messy, empty, spark):
     labels = spark.createDataFrame([(1, 0), (8, 1), (8, 1), (None, 1), (6, None), (77, 1)], "doc_id long, toxic int")
     model = toxicity.fit(toxicity.labelled(messy, labels, F.lit(False)), min_docs=1)
