@@ -108,6 +108,10 @@ class Problem:
         """pairs: (word that stands, word that replaces it), a row for each swap; word d is one that weighs 0."""
         self.rows, self.cols, self.labels, self.n, self.d = rows, cols, labels, len(labels), d
         self.pairs, self.penalty = pairs, penalty / len(labels)
+        # a bound on how the slope of each weight turns: words of many texts and of many swaps take shorter steps
+        often, swapped = np.bincount(cols, minlength=d) / self.n, np.bincount(pairs.ravel(), minlength=d + 1)[:d]
+        self.turn_b = 0.25 * max(1.0, len(cols) / self.n)
+        self.turn = self.turn_b * often + 4 * self.penalty * swapped + 1e-9
 
     def changes(self, w: np.ndarray) -> np.ndarray:
         w = np.append(w, 0.0)
@@ -127,16 +131,17 @@ class Problem:
         return g + swapped[: self.d], float(rest.sum())
 
     def solve(self, w: np.ndarray, b: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
-        """Accelerated proximal gradient with backtracking."""
-        v, vb, t, step = w, b, 1.0, 64.0
+        """Accelerated proximal gradient with backtracking; each weight's steps are scaled by its bound."""
+        v, vb, t, step = w, b, 1.0, 16.0
         for _ in range(steps):
             g, gb = self.slope(v, vb)
             f, g = self.loss(v, vb) + l2 / 2 * (v @ v), g + l2 * v
             while True:
-                new, new_b = v - step * g, vb - step * gb
-                new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+                own, own_b = step / (self.turn + l2), step / self.turn_b
+                new, new_b = v - own * g, vb - own_b * gb
+                new = np.sign(new) * np.maximum(np.abs(new) - own * l1, 0)
                 dw, db = new - v, new_b - vb
-                if self.loss(new, new_b) + l2 / 2 * (new @ new) <= f + g @ dw + gb * db + (dw @ dw + db * db) / (2 * step) + 1e-12:
+                if self.loss(new, new_b) + l2 / 2 * (new @ new) <= f + g @ dw + gb * db + (dw @ (dw / own) + db * db / own_b) / 2 + 1e-12:
                     break
                 step *= 0.5
             t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
