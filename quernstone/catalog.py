@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions import embed, times, vector
 from quernstone.functions import text as tx
-from quernstone.functions import times, vector
 from quernstone.operators import bm25, chunk, evaluate, filters, fusion, rerank, store, vector_index
-from quernstone.plans.retrievers import Bm25, Ensemble, Vector, Weighted
+from quernstone.operators.paths import shared_folder
+from quernstone.plans.retrievers import Bm25, Ensemble, Reranked, Vector, Weighted, retrieve_at_depth, retrieve_texts
 from quernstone.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,8 +46,17 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), tx.tokens(F.col("text")).alias("tokens"))
 
 
+def own_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of this session, for what is stored of these tables."""
+    return f"{shared_folder(spark)}/{name}-{hashlib.md5(f'{spark.sparkContext.applicationId} {sf_dir}'.encode()).hexdigest()}"
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.build(text_chunks(spark, sf_dir))
+    """Built and stored by the session's first query of these tables; all of them search the stored one."""
+    path = own_folder(spark, sf_dir, "bm25")
+    if not bm25.ready(spark, path):
+        bm25.save(bm25.build(text_chunks(spark, sf_dir)), path)
+    return bm25.load(spark, path)
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +67,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """The first vectors as a stated query set."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 is a query, against all vectors."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each benchmark item that has one of its id."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding").join(items, "query_id", "left_semi")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -110,7 +127,7 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEX} SELECT term, chunk_id, tf FROM post")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_index(spark, sf_dir).postings
+    return text_index(spark, sf_dir).postings.select("term", "chunk_id", "tf")
 
 
 @query(f"WITH {INDEX} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl FROM st")
@@ -158,6 +175,30 @@ def bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bm25.exact(text_index(spark, sf_dir), terms), "score")
 
 
+WEIGHTS = "w AS (SELECT query_id, term, weight * (1 + 0.5 * (length(term) % 3)) AS weight FROM qt)"
+WEIGHTED_SEEDS = f"""{WEIGHTS},
+sw AS (SELECT w.query_id, w.term, w.weight * t.idf AS seed, row_number() OVER (PARTITION BY w.query_id ORDER BY w.weight * t.idf DESC, w.term) AS place,
+    max(w.weight * t.idf) OVER (PARTITION BY w.query_id) AS best FROM w JOIN terms t ON t.term = w.term WHERE t.idf > 0 AND w.weight > 0),
+cs AS (SELECT s.query_id, p.chunk_id, sum(s.seed * p.tf) AS score FROM sw s JOIN post p ON p.term = s.term WHERE s.place <= 5 AND (s.place = 1 OR s.seed >= s.best * 0.6) GROUP BY s.query_id, p.chunk_id),
+{ranked_sql("cand", "cs", 150)}, """
+
+
+@query(top_sql(scored_sql("s", "w", where="EXISTS (SELECT 1 FROM cand c WHERE c.query_id = q.query_id AND c.chunk_id = p.chunk_id)"), extra=WEIGHTED_SEEDS))
+def bm25_weighted_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds by weight times idf."""
+    terms = bm25.query_terms(text_queries(spark, sf_dir)).withColumn("weight", F.col("weight") * (1 + 0.5 * (F.length("term") % 3)))
+    return rounded(bm25.pruned(text_index(spark, sf_dir), terms, weighted=True), "score")
+
+
+@query(f"WITH {INDEX} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS terms, (SELECT count(*) FROM post) AS postings FROM st")
+def bm25_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenized anew, and the index written again."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    index = bm25.rebuild(docs, own_folder(spark, sf_dir, "bm25-rebuilt"), tx.tokens)
+    sizes = index.terms.agg(F.count("*").alias("terms")).crossJoin(index.postings.agg(F.count("*").alias("postings")))
+    return rounded(index.stats.crossJoin(sizes), "avgdl")
+
+
 RM3 = f"""{scored_sql("s1", "qt")}, {ranked_sql("fb", "s1", 10)},
 share AS (SELECT query_id, chunk_id, score / sum(score) OVER (PARTITION BY query_id) AS w FROM fb),
 rm AS (SELECT f.query_id, p.term, sum(CAST(p.tf AS DOUBLE) / l.dl * f.w) AS p FROM share f JOIN post p ON p.chunk_id = f.chunk_id JOIN lens l ON l.chunk_id = f.chunk_id GROUP BY f.query_id, p.term),
@@ -180,7 +221,7 @@ def bm25_rm3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(top_sql(scored_sql("s", "qt", where="EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = p.chunk_id AND d.lang = 'en' AND d.n_chars >= 500)")))
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = text_queries(spark, sf_dir)
-    allowed = queries.select("query_id").crossJoin(table(spark, sf_dir, "documents").where("lang = 'en' and n_chars >= 500").select(F.col("doc_id").alias("chunk_id")))
+    allowed = table(spark, sf_dir, "documents").where("lang = 'en' and n_chars >= 500").select(F.col("doc_id").alias("chunk_id"))
     return rounded(bm25.exact(text_index(spark, sf_dir), bm25.query_terms(queries), allowed=allowed), "score")
 
 
@@ -213,7 +254,7 @@ def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- vectors
 
 DISTANCE = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE)) * (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE))))"
-KNN = f"""vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20),
+KNN = f"""vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
 vd AS (SELECT q.query_id, e.vec_id AS chunk_id, e.label, {DISTANCE.format(a="q.embedding", b="e.embedding")} AS distance FROM vq q, embeddings e)"""
 CENTROIDS = """dims AS (SELECT label AS cluster_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
 means AS (SELECT cluster_id, dim, avg(CAST(x AS DOUBLE)) AS x FROM dims GROUP BY cluster_id, dim),
@@ -230,7 +271,7 @@ def near_sql(name: str, source: str, k: int) -> str:
 def probe_sql(nprobe: int, limit: int, allowed: str | None = None) -> str:
     sizes = f"SELECT query_id, cluster_id, count(*) AS size FROM {allowed} a JOIN idx ON idx.chunk_id = a.chunk_id GROUP BY query_id, cluster_id" if allowed else "SELECT q.query_id, cluster_id, count(*) AS size FROM vq q, idx GROUP BY q.query_id, cluster_id"
     inside = f"JOIN {allowed} a ON a.query_id = p.query_id AND a.chunk_id = i.chunk_id" if allowed else ""
-    return f"""vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20), {ASSIGN}{", " + ALLOWED if allowed else ""},
+    return f"""vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), {ASSIGN}{", " + ALLOWED if allowed else ""},
 sizes AS ({sizes}),
 qc AS (SELECT q.query_id, c.cluster_id, {DISTANCE.format(a="q.embedding", b="c.centroid")} AS d FROM vq q, cent c),
 rk AS (SELECT c.query_id, c.cluster_id, row_number() OVER o AS place, sum(s.size) OVER o - s.size AS before FROM qc c JOIN sizes s ON s.query_id = c.query_id AND s.cluster_id = c.cluster_id
@@ -240,7 +281,7 @@ fd AS (SELECT p.query_id, i.chunk_id, {DISTANCE.format(a="q.embedding", b="i.emb
 {near_sql("top", "fd", limit)}"""
 
 
-ALLOWED = "allowed AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND (q.vec_id + e.vec_id) % 3 = 0 AND e.label < 6)"
+ALLOWED = "allowed AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND (q.vec_id + e.vec_id) % 3 = 0 AND e.label < 6)"
 HITS = "query_id, chunk_id, round(distance, 6) AS distance, rank FROM top"
 
 
@@ -272,12 +313,13 @@ def knn_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label) AS v FROM embeddings),
-n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM s)
-SELECT vec_id, round(n, 6) AS norm, round(CASE WHEN n < 1e-10 THEN v[1] ELSE v[1] / n END, 6) + 0.0 AS first, round(CASE WHEN n < 1e-10 THEN v[64] ELSE v[64] / n END, 6) + 0.0 AS last FROM n""")
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM s),
+u AS (SELECT vec_id, n, unnest(v) AS x, unnest(range(len(v))) AS dim FROM n)
+SELECT vec_id, round(n, 6) AS norm, dim, round(CASE WHEN n < 1e-10 THEN x ELSE x / n END, 6) + 0.0 AS x FROM u""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * F.col("label")).alias("v"))
-    unit = scaled.withColumn("u", vector.normalize(F.col("v")))
-    return unit.select("vec_id", F.round(vector.norm(F.col("v")), 6).alias("norm"), (F.round(F.element_at("u", 1), 6) + 0.0).alias("first"), (F.round(F.element_at("u", 64), 6) + 0.0).alias("last"))
+    rows = scaled.select("vec_id", vector.norm(F.col("v")).alias("norm"), F.posexplode(vector.normalize(F.col("v"))).alias("dim", "x"))
+    return rows.select("vec_id", F.round("norm", 6).alias("norm"), F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("""WITH t AS (SELECT vec_id, vec_id // 4 AS grp, CASE WHEN vec_id % 4 < 3 THEN 1 ELSE 0 END AS mask, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
@@ -328,7 +370,7 @@ def ivf_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- fusion
 
-BOTH = f"""{INDEX}, {scored_sql("s", "qt")}, {ranked_sql("lex", "s", 15)}, vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 40),
+BOTH = f"""{INDEX}, {scored_sql("s", "qt")}, {ranked_sql("lex", "s", 15)}, vq AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
 vd AS (SELECT q.query_id, e.vec_id AS chunk_id, {DISTANCE.format(a="q.embedding", b="e.embedding")} AS distance FROM vq q, embeddings e), {near_sql("vec", "vd", 15)},
 lists AS (SELECT query_id, chunk_id, score AS value, rank, 0.3 AS weight, FALSE AS dist, 0 AS source FROM lex UNION ALL SELECT query_id, chunk_id, distance AS value, rank, 0.7 AS weight, TRUE AS dist, 1 AS source FROM vec)"""
 RRF = "f AS (SELECT query_id, chunk_id, sum(weight / (60 + rank)) AS score FROM lists GROUP BY query_id, chunk_id)"
@@ -338,7 +380,7 @@ f AS (SELECT query_id, chunk_id, sum(weight * CASE WHEN hi - lo <= 1e-6 THEN 1.0
 
 def both_lists(spark: SparkSession, sf_dir: str) -> list[fusion.Ranked]:
     lexical = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)))
-    near = vector_index.brute_force(vector_queries(spark, sf_dir, 40), vectors(spark, sf_dir), 15)
+    near = vector_index.brute_force(item_vectors(spark, sf_dir), vectors(spark, sf_dir), 15)
     return [fusion.Ranked(lexical, 0.3), fusion.Ranked(near, 0.7, True)]
 
 
@@ -354,13 +396,13 @@ def fuse_rsf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: lexical and vector lists, fused, hydrated."""
-    queries = text_queries(spark, sf_dir).join(vector_queries(spark, sf_dir, 40), "query_id")
+    queries = text_queries(spark, sf_dir).join(item_vectors(spark, sf_dir), "query_id")
     ensemble = Ensemble([Weighted(Bm25(text_index(spark, sf_dir)), 0.3), Weighted(Vector(vectors(spark, sf_dir)), 0.7), Weighted(Vector(None))], candidate_k=15)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source")
     return rounded(fusion.hydrate(ensemble.retrieve(queries), docs), "score").select("query_id", "chunk_id", "score", "rank", "lang", "source")
 
 
-ORACLES["ensemble_hybrid"] = f"WITH {BOTH}, {RRF}, {ranked_sql('top', 'f', 10)} SELECT t.query_id, t.chunk_id, round(t.score, 6) AS score, t.rank, d.lang, d.source FROM top t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.query_id IN (SELECT item_id FROM benchmark)"
+ORACLES["ensemble_hybrid"] = f"WITH {BOTH}, {RRF}, {ranked_sql('top', 'f', 10)} SELECT t.query_id, t.chunk_id, round(t.score, 6) AS score, t.rank, d.lang, d.source FROM top t JOIN documents d ON d.doc_id = t.chunk_id WHERE t.query_id IN (SELECT item_id FROM benchmark) AND t.query_id IN (SELECT vec_id FROM embeddings)"
 QUERIES["ensemble_hybrid"] = flagship
 
 
@@ -368,7 +410,9 @@ QUERIES["ensemble_hybrid"] = flagship
 def lcs_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the pool against the query's: no SQL for the table of a subsequence; tested by brute force."""
     hits = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)), bm25.Params(top_k=10))
-    pool = fusion.hydrate(hits, text_chunks(spark, sf_dir)).join(text_queries(spark, sf_dir).withColumnRenamed("tokens", "query_tokens"), "query_id")
+    # texts of the pool alone are tokenized
+    texts = fusion.hydrate(hits, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).withColumn("tokens", tx.tokens(F.col("text"))).drop("text")
+    pool = texts.join(text_queries(spark, sf_dir).withColumnRenamed("tokens", "query_tokens"), "query_id")
     return rerank.rerank(pool.withColumn("rank", F.col("rank").cast("long")), 5).select("query_id", "chunk_id", "lcs", F.col("rank").cast("long").alias("rank"))
 
 
@@ -413,17 +457,32 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.strip_html(F.col("html")).cast("binary")).alias("content"))
 
 
+FOLD = "translate({text}, (SELECT string_agg(chr(CAST(i AS INTEGER)), '' ORDER BY i) FROM range(65281, 65375) t(i)) || chr(12288), (SELECT string_agg(chr(CAST(i AS INTEGER)), '' ORDER BY i) FROM range(33, 127) t(i)) || ' ')"
+
+
 def cleaned_sql(text: str) -> str:
-    steps = [(tx.CONTROL, ""), (tx.HTML_TAG, ""), (tx.HTML_ENTITY, " "), (tx.DECORATION, ""), (r"(?im)^\s*(?:-\s*\d+\s*-|\d+\s*/\s*\d+|\[\s*\d+\s*\]|\(\s*\d+\s*\)|페이지\s*\d+|page\s*\d+)\s*$", ""), (r"\.{3,}", "."), ("[-–—]{3,}", "-"), ("_{3,}", ""), (r"[^\S\n]{2,}", " "), (r"\n{3,}", "\n\n")]
-    for pattern, by in steps:
-        if pattern == tx.DECORATION:
-            text = f"translate({text}, '{tx.WIDE}', '{tx.NARROW.replace(chr(39), chr(39) * 2)}')"
-        shown = by if "\n" not in by else "' || chr(10) || chr(10) || '"
-        text = f"regexp_replace({text}, '{pattern}', '{shown}', 'g')"
+    """The steps of cleaning as they are stated, with patterns of its own."""
+    before = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), ("<[^>]+>", ""), (r"&(nbsp|amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);", " ")]
+    after = [
+        ("[●○◎◇◆□■△▲▽▼☆★♣♠♥♦►▶◀◄→←↑↓↔⇒⇐⇑⇓※☎✔✖✕✓✗✘⊙⊚⊛⊜⊝]", ""), (r"(?im)^\s*(-\s*[0-9]+\s*-|[0-9]+\s*/\s*[0-9]+|\[\s*[0-9]+\s*\]|\(\s*[0-9]+\s*\)|페이지\s*[0-9]+|page\s*[0-9]+)\s*$", ""),
+        (r"\.{3,}", "."), ("[-–—]{3,}", "-"), ("_{3,}", ""), (r"[^\S\n]{2,}", " "), (r"\n{3,}", "' || chr(10) || chr(10) || '"),
+    ]
+    text = f"nfc_normalize({text})"
+    for pattern, by in before:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    text = FOLD.format(text=text)
+    for pattern, by in after:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
     lines = rf"list_transform(string_split(regexp_replace({text}, '\r\n|\r', chr(10), 'g'), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g'))"
     return rf"regexp_replace(array_to_string({lines}, chr(10)), '^\s+|\s+$', '', 'g')"
 
 
+@query("SELECT doc_id, md5(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))) AS content FROM documents")
+def nfc_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.nfc(apart).cast("binary")).alias("content"))
+
+
 @query(f"SELECT page_id, md5({cleaned_sql('html')}) AS content FROM pages")
 def clean_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.clean_document(F.col("html")).cast("binary")).alias("content"))
@@ -519,14 +578,15 @@ def update_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.update(docs, changes, "document_id").select((F.col("document_id") - 1).alias("document_id"), "lang", "source")
 
 
-@query("""WITH new AS (SELECT doc_id AS k, CASE WHEN vec_id % 5 = 0 THEN len(embedding) - 1 ELSE len(embedding) END AS n, embedding[1] AS x FROM embeddings JOIN documents ON doc_id = vec_id)
-SELECT d.doc_id, CASE WHEN n.n = 64 THEN round(CAST(n.x AS DOUBLE), 6) ELSE -1.0 END AS first FROM documents d LEFT JOIN new n ON n.k = d.doc_id""")
+@query("""WITH e AS (SELECT d.doc_id, CASE WHEN v.vec_id IS NOT NULL AND v.vec_id % 5 <> 0 THEN v.embedding ELSE [CAST(-1.0 AS FLOAT)] END AS x FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id)
+SELECT doc_id, unnest(range(len(x))) AS dim, round(CAST(unnest(x) AS DOUBLE), 6) AS x FROM e""")
 def import_embeddings_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by (document, chunk index); each fifth has a wrong size and is refused."""
     docs = documents(spark, sf_dir)
     chunks = docs.select(F.col("document_id").alias("chunk_id"), F.col("external_id").alias("doc_external_id"), F.lit(0).alias("chunk_index"), F.array(F.lit(-1.0).cast("float")).alias("embedding"))
     new = vectors(spark, sf_dir).join(docs, F.col("chunk_id") == F.col("document_id")).select(F.col("external_id").alias("doc_external_id"), F.lit(0).alias("chunk_index"), "chunk_id", F.when(F.col("chunk_id") % 5 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
-    return store.import_embeddings(chunks, new, 64)[0].select(F.col("chunk_id").alias("doc_id"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+    rows = store.import_embeddings(chunks, new, 64)[0].select(F.col("chunk_id").alias("doc_id"), F.posexplode("embedding").alias("dim", "x"))
+    return rows.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 @query("""SELECT count(*) FILTER (WHERE vec_id % 5 <> 0 AND vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)) AS matched,
@@ -610,7 +670,7 @@ def export_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- evaluation
 
-TRUTH = "truth AS (SELECT q.vec_id AS query_id, e.vec_id AS document_id FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id AND e.vec_id % (1 + q.vec_id) = 0 AND q.vec_id % 9 <> 8)"
+TRUTH = "truth AS (SELECT q.vec_id AS query_id, e.vec_id AS document_id FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id AND e.vec_id % (1 + q.vec_id // 100) = 0 AND q.vec_id // 100 % 4 <> 3)"
 EVALUATED = f"""{KNN}, {TRUTH}, {near_sql("top", "vd", 100)},
 nt AS (SELECT v.query_id, (SELECT count(*) FROM truth t WHERE t.query_id = v.query_id) AS n_targets FROM vq v),
 ev AS (SELECT n.query_id, n.n_targets, CASE WHEN n.n_targets > 5 THEN 50 ELSE 5 END AS eval_k FROM nt n),
@@ -618,12 +678,17 @@ ht AS (SELECT e.query_id, e.n_targets, e.eval_k, (SELECT count(*) FROM top p JOI
 rc AS (SELECT query_id, n_targets, eval_k, hits, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hit, CASE WHEN n_targets > 0 THEN CAST(hits AS DOUBLE) / n_targets ELSE 0.0 END AS recall FROM ht)"""
 
 
+def label_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = vectors(spark, sf_dir)
+    own = all_.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "label")
+    return own.join(all_.select(F.col("chunk_id").alias("document_id"), "label"), "label").where("document_id != query_id and document_id % (1 + query_id div 100) = 0 and query_id div 100 % 4 != 3").select("query_id", "document_id")
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the same label as targets, many for some queries and none for others."""
     all_ = vectors(spark, sf_dir)
     queries = vector_queries(spark, sf_dir)
-    own = all_.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "label")
-    truth = own.join(all_.select(F.col("chunk_id").alias("document_id"), "label"), "label").where("document_id != query_id and document_id % (1 + query_id) = 0 and query_id % 9 != 8").select("query_id", "document_id")
+    truth = label_truth(spark, sf_dir)
     hits = vector_index.brute_force(queries, all_, 100).withColumn("document_id", F.col("chunk_id"))
     return evaluate.by_query(queries, hits, truth)
 
@@ -651,3 +716,161 @@ def detail_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical, near = (r.hits.where("rank <= 5").withColumn("document_id", F.col("chunk_id")) for r in both_lists(spark, sf_dir))
     merged = evaluate.details({"bm25": lexical, "vector": near})
     return merged.select("query_id", F.col("results")["bm25"].alias("bm25"), F.col("results")["vector"].alias("vector"))
+
+
+# ---- entries by text, depths, index life
+
+
+IDS = f"list_concat(list_concat([2], list_transform(list_slice({TOKENS}, 1, 510), lambda w: 4 + CAST('0x' || substr(md5(w), 1, 4) AS INTEGER))), [3])"
+
+
+def embedded_sql(name: str, key: str, source: str, where: str = "TRUE") -> str:
+    """key, embedding: shares of ids by their remainder modulo 16, in unit length."""
+    return f"""{name}_i AS (SELECT {key} AS k, {IDS} AS ids FROM {source} WHERE {where}),
+{name}_c AS (SELECT k, list_transform(range(16), lambda b: CAST(len(list_filter(ids, lambda x: x % 16 = b)) AS DOUBLE) / len(ids)) AS v FROM {name}_i),
+{name} AS (SELECT k, list_transform(v, lambda x: CAST(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) AS FLOAT)) AS embedding FROM {name}_c)"""
+
+
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), embed.buckets().column(F.col("text")).alias("embedding"))
+
+
+@query(f"WITH {embedded_sql('e', 'doc_id', 'documents')}, u AS (SELECT k, unnest(embedding) AS x, unnest(range(16)) AS dim FROM e) SELECT k AS doc_id, dim, round(CAST(x AS DOUBLE), 5) AS x FROM u")
+def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text_vectors(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), F.posexplode("embedding").alias("dim", "x"))
+    return rows.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query(f"""WITH {INDEX}, {scored_sql("s", "qt")}, {ranked_sql("lex", "s", 15)}, {embedded_sql("e", "doc_id", "documents")}, {embedded_sql("qe", "item_id", "benchmark")},
+vd AS (SELECT q.k AS query_id, e.k AS chunk_id, {DISTANCE.format(a="q.embedding", b="e.embedding")} AS distance FROM qe q, e), {near_sql("vec", "vd", 15)},
+lists AS (SELECT query_id, chunk_id, rank, 0.4 AS weight FROM lex UNION ALL SELECT query_id, chunk_id, rank, 0.6 AS weight FROM vec),
+{RRF}, {ranked_sql("top", "f", 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top""")
+def retrieve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in, hits out: both features are computed from the item's text."""
+    ensemble = Ensemble([Weighted(Bm25(text_index(spark, sf_dir)), 0.4), Weighted(Vector(text_vectors(spark, sf_dir)), 0.6)], candidate_k=15)
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rounded(retrieve_texts(ensemble, texts, embed.buckets()), "score")
+
+
+@query()
+def vector_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three times the depth by embedding, reranked by subsequence, cut; tested by brute force."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    retriever = Reranked(Vector(text_vectors(spark, sf_dir)), docs.select("chunk_id", tx.tokens(F.col("text")).alias("tokens")), 5)
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rounded(retrieve_texts(retriever, texts, embed.buckets()), "score")
+
+
+@query(f"""WITH {KNN}, {TRUTH}, n AS (SELECT v.query_id, count(t.document_id) AS n FROM vq v LEFT JOIN truth t ON t.query_id = v.query_id GROUP BY v.query_id),
+{near_sql("top", "vd", 100)} SELECT t.query_id, t.chunk_id, round(t.distance, 6) AS distance, t.rank FROM top t JOIN n ON n.query_id = t.query_id WHERE t.rank <= CASE WHEN n.n > 5 THEN 100 ELSE 11 END""")
+def retrieval_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with more than five targets go 100 deep, the others as deep as the retriever goes."""
+    queries = vector_queries(spark, sf_dir)
+    return rounded(retrieve_at_depth(Vector(vectors(spark, sf_dir)), queries, evaluate.depths(queries, label_truth(spark, sf_dir), 5)), "distance")
+
+
+@query(f"""WITH {EVALUATED}, far AS (SELECT query_id, n_targets, CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hit, CASE WHEN n_targets > 0 THEN CAST(hits AS DOUBLE) / n_targets ELSE 0.0 END AS recall FROM (
+  SELECT e.query_id, e.n_targets, (SELECT count(*) FROM top p JOIN truth t ON t.query_id = p.query_id AND t.document_id = p.chunk_id WHERE p.query_id = e.query_id AND p.rank <= 1) AS hits FROM ev e)),
+m AS (SELECT 'deep' AS method, count(*) AS queries, round(100 * avg(hit), 6) AS hit_rate, round(100 * avg(recall), 6) AS recall FROM rc
+  UNION ALL SELECT 'first' AS method, count(*), round(100 * avg(hit), 6), round(100 * avg(recall), 6) FROM far)
+SELECT method, queries, hit_rate, recall, row_number() OVER (ORDER BY hit_rate DESC, recall DESC, method) AS place FROM m""")
+def method_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, truth = vector_queries(spark, sf_dir), label_truth(spark, sf_dir)
+    hits = vector_index.brute_force(queries, vectors(spark, sf_dir), 100).withColumn("document_id", F.col("chunk_id"))
+    rows = [evaluate.summary(evaluate.by_query(queries, h, truth), name) for name, h in (("deep", hits), ("first", hits.where("rank = 1")))]
+    return rounded(evaluate.methods(rows), "hit_rate", "recall").withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH RECURSIVE {KNN}, {ASSIGN}, c AS (SELECT * FROM cent), s AS (SELECT unnest([1, 3, 10]) AS nprobe), sizes AS (SELECT cluster_id, count(*) AS size FROM idx GROUP BY cluster_id),
+qc AS (SELECT q.query_id, c.cluster_id, {DISTANCE.format(a="q.embedding", b="c.centroid")} AS d FROM vq q, c),
+rk AS (SELECT c.query_id, c.cluster_id, row_number() OVER o AS place, sum(z.size) OVER o - z.size AS before FROM qc c JOIN sizes z ON z.cluster_id = c.cluster_id
+  WINDOW o AS (PARTITION BY c.query_id ORDER BY round(c.d, 9), c.cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+fd AS (SELECT s.nprobe, d.query_id, d.chunk_id, row_number() OVER (PARTITION BY s.nprobe, d.query_id ORDER BY round(d.distance, 9), d.chunk_id) AS rank
+  FROM s, rk JOIN idx i ON i.cluster_id = rk.cluster_id JOIN vd d ON d.query_id = rk.query_id AND d.chunk_id = i.chunk_id WHERE rk.place <= s.nprobe OR rk.before < 11),
+ex AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM vd) WHERE rank <= 11)
+SELECT 'nprobe=' || f.nprobe AS method, round(CAST(count(e.chunk_id) AS DOUBLE) / (SELECT count(*) FROM ex), 6) AS recall FROM fd f LEFT JOIN ex e ON e.query_id = f.query_id AND e.chunk_id = f.chunk_id WHERE f.rank <= 11 GROUP BY f.nprobe""")
+def nprobe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the eleven nearest by the number of probes."""
+    queries = vector_queries(spark, sf_dir)
+    exact = vector_index.brute_force(queries, vectors(spark, sf_dir)).select("query_id", "chunk_id", F.lit(1).alias("near"))
+    whole = exact.agg(F.count("*").alias("whole"))
+    one = lambda name, hits: hits.join(exact, ["query_id", "chunk_id"], "left").agg(F.count("near").alias("n")).crossJoin(whole).select(F.lit(name).alias("method"), (F.col("n") / F.col("whole")).alias("recall"))
+    return rounded(vector_index.sweep(queries, *clustered(spark, sf_dir), [1, 3, 10], one), "recall")
+
+
+@query(f"WITH {KNN}, {near_sql('top', 'vd', 11)} SELECT {HITS}")
+def ivf_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the vectors stored, the others streamed in; all clusters probed must give the exact result."""
+    from quernstone.streaming.incremental import add_vectors
+
+    path, source = own_folder(spark, sf_dir, "ivf"), own_folder(spark, sf_dir, "arriving")
+    all_, centroids = clustered(spark, sf_dir)
+    vector_index.remove(spark, f"{path}-log")
+    vector_index.save(all_.where("chunk_id % 2 = 0"), centroids, path)
+    vectors(spark, sf_dir).where("chunk_id % 3 != 0 or chunk_id % 2 = 1").write.mode("overwrite").parquet(source)
+    stream = spark.readStream.schema(vectors(spark, sf_dir).schema).parquet(source)
+    add_vectors(stream, path, f"{path}-log").awaitTermination()
+    return rounded(vector_index.search(vector_queries(spark, sf_dir), *vector_index.load(spark, path), nprobe=1_000), "distance")
+
+
+@query(f"WITH {CENTROIDS} SELECT count(*) AS clusters, max(len(centroid)) AS dimension, (SELECT count(*) FROM embeddings) AS vectors FROM cent")
+def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.info(*clustered(spark, sf_dir)).withColumn("dimension", F.col("dimension").cast("long"))
+
+
+# ---- lookups and exchange
+
+
+@query("SELECT doc_id AS document_id, source || '_' || doc_id AS external_id, md5(text) AS content FROM documents WHERE doc_id = 7 OR source || '_' || doc_id = (SELECT source || '_' || doc_id FROM documents WHERE doc_id = 11)")
+def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    name = store.external_ids(store.get(docs, 11)).first()
+    both = store.get(docs, 7).unionByName(store.get(docs, name.external_id if name else None, "external_id"))
+    return both.select("document_id", "external_id", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+@query(f"WITH {CHUNKED} SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'queries', count(*) FROM benchmark")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.counts({"documents": documents(spark, sf_dir), "chunks": numbered_chunks(spark, sf_dir), "queries": table(spark, sf_dir, "benchmark")})
+
+
+@query("SELECT item_id FROM benchmark WHERE item_id % 3 = 1")
+def split_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").withColumn("split", F.when(F.col("item_id") % 3 == 1, "test").otherwise("dev"))
+    return store.of_split(rows, "test").select("item_id")
+
+
+@query(f"""WITH {CHUNKED}, l AS (SELECT document_id, string_agg('{{"chunk_index":' || chunk_index || ',"chunk_id":' || chunk_id || '}}', ',' ORDER BY chunk_index) AS c FROM ch WHERE document_id = 5 GROUP BY document_id)
+SELECT d.doc_id AS document_id, '{{"document_id":' || d.doc_id || ',"lang":"' || d.lang || '","chunks":[' || coalesce(l.c, '') || ']}}' AS json FROM documents d LEFT JOIN l ON l.document_id = d.doc_id WHERE d.doc_id = 5""")
+def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.item_json(documents(spark, sf_dir).select("document_id", "lang"), 5, numbered_chunks(spark, sf_dir))
+
+
+@query(f"WITH {INDEX}, {scored_sql('s', 'qt')}, {ranked_sql('top', 's', 15)} SELECT t.query_id, t.rank, t.chunk_id, d.doc_id AS document_id, md5(d.text) AS content, round(t.score, 6) AS score FROM top t JOIN documents d ON d.doc_id = t.chunk_id")
+def results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as JSON, read back."""
+    hits = rounded(bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir))), "score")
+    docs = documents(spark, sf_dir).select(F.col("document_id").alias("chunk_id"), "document_id", F.md5(F.col("content").cast("binary")).alias("content"))
+    return rounded(store.results_from_json(store.results_to_json(fusion.hydrate(hits, docs))))
+
+
+@query("""SELECT count(*) FILTER (WHERE vec_id % 7 <> 0 AND vec_id IN (SELECT item_id FROM benchmark)) AS matched, count(*) FILTER (WHERE vec_id % 7 = 0) AS bad_size,
+count(*) FILTER (WHERE vec_id % 7 <> 0 AND vec_id NOT IN (SELECT item_id FROM benchmark)) AS unmatched FROM embeddings""")
+def query_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of queries by external id; each seventh is empty and refused."""
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q_"), "item_id").alias("external_id"), F.col("text").alias("content"))
+    new = vectors(spark, sf_dir).select(F.concat(F.lit("q_"), "chunk_id").alias("external_id"), F.when(F.col("chunk_id") % 7 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")).alias("embedding"))
+    return store.import_query_embeddings(rows, new)[1]
+
+
+@query(top_sql(scored_sql("s", "qt", where="(q.query_id % 2 = 1 OR EXISTS (SELECT 1 FROM documents d, documents t WHERE d.doc_id = p.chunk_id AND t.doc_id = q.query_id * 3 AND d.lang = t.lang))")))
+def bm25_query_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each even query is held to the language of its first target, as a domain; odd ones have no filter."""
+    domain = F.create_map(*[F.lit(x) for x in ("en", "call", "fr", "sms", "de", "mms", "es", "file")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", domain[F.col("lang")].alias("domain"))
+    truth = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), F.lit(0).alias("position"), (F.col("item_id") * 3).alias("target_id"))
+    specs = docs.select(F.col("doc_id").alias("target_id"), F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("end_date"), F.array("domain").alias("domains"))
+    types = F.create_map(*[x for k, v in times.ALIASES.items() for x in (F.lit(k), F.lit(v))])
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), types[F.col("domain")].alias("source_type"), F.lit(0).alias("created_at"))
+    wanted = filters.wanted(specs, truth)
+    return rounded(bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)), allowed=lambda hits: filters.passing(hits, wanted, chunks)), "score")

@@ -22,14 +22,14 @@ NARROW = "".join(map(chr, [*range(0x21, 0x7F), 0x20]))
 
 
 def nfc(text: Column) -> Column:
-    """Unicode composition. Spark has no function for it, so an Arrow UDF does it."""
+    """Unicode composition. Spark has no function for it, so an Arrow UDF does it; ASCII texts, which are composed, stay out of it."""
 
     @F.pandas_udf("string")
     def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return compose(text)
+    return F.coalesce(compose(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def replace_all(text: Column, *steps: tuple[str, str]) -> Column:
@@ -52,8 +52,8 @@ def strip_html(text: Column) -> Column:
     return replace_all(text, (HTML_TAG, ""), (HTML_ENTITY, " "))
 
 
-def clean_document(text: Column, compose: bool = False) -> Column:
-    """Cleaning of a document; compose adds Unicode composition, which leaves generated code."""
+def clean_document(text: Column, compose: bool = True) -> Column:
+    """Cleaning of a document, after Unicode composition."""
     text = nfc(text) if compose else text
     out = strip_html(replace_all(text, (CONTROL, "")))
     out = replace_all(fold_width(out), (DECORATION, ""), (PAGE_NUMBER, ""))
@@ -62,7 +62,7 @@ def clean_document(text: Column, compose: bool = False) -> Column:
     return trim_all(F.array_join(lines, "\n"))
 
 
-def clean_query(text: Column, compose: bool = False) -> Column:
+def clean_query(text: Column, compose: bool = True) -> Column:
     text = nfc(text) if compose else text
     out = fold_width(replace_all(text, (CONTROL, "")))
     return trim_all(replace_all(out, (DECORATION, ""), (r"[^\S\n]{2,}", " ")))
@@ -119,7 +119,10 @@ def truncate_utf8(text: Column, size: int) -> Column:
 
 
 def token_hashes(words: Column) -> Column:
-    """32-bit token ids, for exchange with stores that key terms by number; terms themselves are keyed by string here."""
+    """Fixed values throughout: a hash that must agree bit for bit with ids stored elsewhere.
+
+    32-bit token ids, for exchange with stores that key terms by number; terms themselves are keyed by string here.
+    """
 
     def rotate(x: int, n: int) -> int:
         return (x << n | x >> (32 - n)) & 0xFFFFFFFF

@@ -1,17 +1,26 @@
 """BM25 over an inverted index of ordinary tables, for batches of queries.
 
-An index is postings (term, chunk_id, tf, len, idf) clustered by term, with a row of statistics. Query terms are a
-multiset, given as (query_id, term, weight). Query batches are broadcast by the planner if small; else
-both sides meet by term, where AQE splits frequent terms.
+An index is postings (term, chunk_id, tf, len), lengths, terms with their df and idf, and a row of statistics. A stored
+one has idf with its postings, which are laid out in `part` folders by a hash of the term and sorted by term in each file: a
+search joins by (part, term), so that the planner reads only the parts that a small batch of queries names, and needs no
+further join. Query terms are a multiset, given as (query_id, term, weight). Query batches are broadcast by the planner if
+small; else both sides meet by term, where AQE splits frequent terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.filters import Allowed, restrict
+from quernstone.operators.paths import remove as remove_path
+
+#: Tokens for each part of a stored index, and the most parts; version of the layout.
+PART_TOKENS, MAX_PARTS, VERSION = 4_000_000, 4096, 4
+
 
 @dataclass(frozen=True)
 class Params:
@@ -27,16 +36,18 @@ class Params:
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, chunk_id, tf
+    postings: DataFrame  # term, chunk_id, tf, len; idf and part too if stored
     lengths: DataFrame  # chunk_id, len
     terms: DataFrame  # term, df, idf
     stats: DataFrame  # one row: n, avgdl
+    parts: int = 1
 
 
 def build(chunks: DataFrame) -> Index:
-    """chunks: chunk_id, tokens. Chunks without tokens count for n and avgdl."""
-    lengths = chunks.select("chunk_id", F.size("tokens").cast("long").alias("len"))
-    postings = chunks.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """chunks: chunk_id, tokens. Chunks without tokens (or null ones) count for n and avgdl."""
+    size = F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("len")
+    lengths = chunks.select("chunk_id", size)
+    postings = chunks.select("chunk_id", size, F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
     stats = lengths.agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avgdl"))
     n, df = F.col("n"), F.col("df")
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
@@ -54,18 +65,34 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def score(index: Index, terms: DataFrame, p: Params, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score. terms: query_id, term, weight; allowed: query_id, chunk_id, applied before all else."""
-    hits = terms.join(index.terms.select("term", "idf"), "term").where("idf > 0 and weight > 0").join(index.postings, "term")
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
-    hits = hits.join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
+def part_of(term: Column, parts: int) -> Column:
+    return F.pmod(F.hash(term), F.lit(parts))
+
+
+def with_idf(index: Index, terms: DataFrame) -> DataFrame:
+    return terms.join(index.terms.select("term", "idf"), "term")
+
+
+def hits_of(index: Index, terms: DataFrame) -> DataFrame:
+    """terms (query_id, term, ...) with the postings of each."""
+    if "part" not in index.postings.columns:
+        return terms.join(index.postings, "term")
+    return terms.withColumn("part", part_of(F.col("term"), index.parts)).join(index.postings.drop("idf") if "idf" in terms.columns else index.postings, ["part", "term"]).drop("part")
+
+
+def score(index: Index, terms: DataFrame, p: Params, allowed: Allowed | None = None) -> DataFrame:
+    """query_id, chunk_id, score. terms: query_id, term, weight; allowed is applied before all else."""
+    if "idf" in index.postings.columns:
+        hits = hits_of(index, terms.where("weight > 0")).where("idf > 0")
+    else:
+        hits = hits_of(index, with_idf(index, terms).where("idf > 0 and weight > 0"))
+    hits = restrict(hits, allowed).crossJoin(F.broadcast(index.stats.select("avgdl")))
     tf = F.col("tf")
     gain = F.col("weight") * F.col("idf") * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
 
 
-def exact(index: Index, terms: DataFrame, p: Params = Params(), allowed: DataFrame | None = None) -> DataFrame:
+def exact(index: Index, terms: DataFrame, p: Params = Params(), allowed: Allowed | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: every chunk with a query term is scored."""
     return top(score(index, terms, p, allowed).where(F.col("score") > p.min_score), p.top_k)
 
@@ -75,7 +102,7 @@ def seeds(index: Index, terms: DataFrame, p: Params, weighted: bool = False) ->
 
     Unweighted, a repeated token takes a place for each time it stands; weighted, a term's weight counts in its score.
     """
-    scored = terms.join(index.terms.select("term", "idf"), "term").where("idf > 0 and weight > 0")
+    scored = with_idf(index, terms).where("idf > 0 and weight > 0")
     if weighted:
         scored = scored.select("query_id", "term", (F.col("weight") * F.col("idf")).alias("seed"))
     else:
@@ -87,16 +114,14 @@ def seeds(index: Index, terms: DataFrame, p: Params, weighted: bool = False) ->
     return kept.groupBy("query_id", "term", "seed").agg(F.count("*").alias("times"))
 
 
-def candidates(index: Index, terms: DataFrame, p: Params, allowed: DataFrame | None = None, weighted: bool = False) -> DataFrame:
+def candidates(index: Index, terms: DataFrame, p: Params, allowed: Allowed | None = None, weighted: bool = False) -> DataFrame:
     """query_id, chunk_id: the best chunks by the summed seed scores of their terms."""
-    hits = seeds(index, terms, p, weighted).join(index.postings, "term")
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
+    hits = restrict(hits_of(index, seeds(index, terms, p, weighted)), allowed)
     summed = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("seed") * F.col("tf") * F.col("times")).alias("score"))
     return top(summed, max(p.top_k * p.candidate_multiplier, p.min_candidates)).select("query_id", "chunk_id")
 
 
-def pruned(index: Index, terms: DataFrame, p: Params = Params(), allowed: DataFrame | None = None, weighted: bool = False) -> DataFrame:
+def pruned(index: Index, terms: DataFrame, p: Params = Params(), allowed: Allowed | None = None, weighted: bool = False) -> DataFrame:
     """As `exact`, over candidates of the seed terms alone; they are scored with all terms."""
     scored = score(index, terms, p, candidates(index, terms, p, allowed, weighted))
     return top(scored.where(F.col("score") > p.min_score), p.top_k)
@@ -110,14 +135,14 @@ class Rm3:
     min_df: int = 2
 
 
-def rm3_terms(index: Index, terms: DataFrame, p: Params = Params(), rm3: Rm3 = Rm3(), allowed: DataFrame | None = None, prune: bool = False) -> DataFrame:
+def rm3_terms(index: Index, terms: DataFrame, p: Params = Params(), rm3: Rm3 = Rm3(), allowed: Allowed | None = None, prune: bool = False) -> DataFrame:
     """query_id, term, weight after feedback from the best chunks of a first pass."""
     from dataclasses import replace
 
     first = (pruned if prune else exact)(index, terms, replace(p, top_k=rm3.fb_docs), allowed)
     per_query = Window.partitionBy("query_id")
     docs = first.select("query_id", "chunk_id", (F.col("score") / F.sum("score").over(per_query)).alias("share"))
-    found = docs.join(index.postings, "chunk_id").join(index.lengths, "chunk_id")
+    found = docs.join(index.postings, "chunk_id")
     found = found.groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("len") * F.col("share")).alias("p"))
     found = found.join(index.terms.select("term", "df"), "term").where(F.col("df") >= rm3.min_df)
     found = found.withColumn("p", F.col("p") / F.sum("p").over(per_query))
@@ -134,26 +159,54 @@ def rm3_terms(index: Index, terms: DataFrame, p: Params = Params(), rm3: Rm3 = R
     return both.select("query_id", "term", F.when(F.col("fed"), F.col("w")).otherwise(F.col("plain")).alias("weight")).where("weight > 0")
 
 
-def rm3_search(index: Index, terms: DataFrame, p: Params = Params(), rm3: Rm3 = Rm3(), allowed: DataFrame | None = None, prune: bool = False) -> DataFrame:
+def rm3_search(index: Index, terms: DataFrame, p: Params = Params(), rm3: Rm3 = Rm3(), allowed: Allowed | None = None, prune: bool = False) -> DataFrame:
     expanded = rm3_terms(index, terms, p, rm3, allowed, prune)
     return pruned(index, expanded, p, allowed, weighted=True) if prune else exact(index, expanded, p, allowed)
 
 
-def save(index: Index, path: str, version: int = 3) -> None:
-    for name in ("postings", "lengths", "terms", "stats"):
-        df = getattr(index, name)
-        (df.withColumn("version", F.lit(version)) if name == "stats" else df).write.mode("overwrite").parquet(f"{path}/{name}")
+def clustered(index: Index, parts: int) -> DataFrame:
+    """Postings as they are stored: with idf and part. Hot terms of the join with idf are split by AQE."""
+    return index.postings.join(index.terms.select("term", "idf"), "term").withColumn("part", part_of(F.col("term"), parts))
 
 
-def load(spark, path: str, version: int = 3) -> Index | None:
+def save(index: Index, path: str, version: int = VERSION) -> None:
+    """Tables are written in turn, statistics last: an index without them isn't there. Postings are rebalanced, so that a large part is several files."""
+    remove_path(index.postings.sparkSession, f"{path}/stats")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    spark = index.postings.sparkSession
+    stored = Index(index.postings, index.lengths, spark.read.parquet(f"{path}/terms"), index.stats)
+    # from the stored lengths, so that chunks aren't read again
+    lengths = spark.read.parquet(f"{path}/lengths")
+    stats = lengths.agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avgdl"))
+    parts = min(MAX_PARTS, 1 + (lengths.agg(F.sum("len")).first()[0] or 0) // PART_TOKENS)
+    clustered(stored, parts).hint("rebalance", "part").sortWithinPartitions("part", "term", "chunk_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    stats.withColumns({"version": F.lit(version), "parts": F.lit(parts)}).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load(spark, path: str, version: int = VERSION) -> Index | None:
     """None if there is no index or one of another version: build it again."""
     from pyspark.errors import AnalysisException
 
     try:
+        row = spark.read.parquet(f"{path}/stats").first()
+        if row is None or row.version != version:
+            return None
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "stats")}
     except AnalysisException:
         return None
-    row = tables["stats"].select("version").first()
-    if row is None or row.version != version:
-        return None
-    return Index(**{**tables, "stats": tables["stats"].drop("version")})
+    return Index(**{**tables, "stats": tables["stats"].select("n", "avgdl")}, parts=row.parts)
+
+
+def ready(spark, path: str) -> bool:
+    return load(spark, path) is not None
+
+
+def remove(spark, path: str) -> None:
+    remove_path(spark, path)
+
+
+def rebuild(chunks: DataFrame, path: str, tokenize: Callable[[Column], Column], content: str = "content") -> Index:
+    """All chunks tokenized anew, and the stored index made from them."""
+    save(build(chunks.withColumn("tokens", tokenize(F.col(content))).select("chunk_id", "tokens")), path)
+    return load(chunks.sparkSession, path)

@@ -40,17 +40,18 @@ def spans(sizes: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
 def chunks(text: Column, most: int = MAX_TOKENS, overlap: int = OVERLAP, count=None) -> Column:
     """array<string> of a text's chunks. count: segment column to token number, by default its words between blanks.
 
-    Segments and their sizes are native; only the greedy walk, whose every step needs the one before, is an Arrow UDF.
+    Segments and their sizes are native; the greedy walk, whose every step needs the one before, is an Arrow UDF, which also
+    joins the chunks, so that a text is split once however many chunks it has.
     """
     count = count or (lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")))
 
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for sizes in batches:
-            yield sizes.map(lambda s: [] if s is None else [{"a": a, "b": b} for a, b in spans([int(x) for x in s], most, overlap)])
+    @F.pandas_udf("array<string>")
+    def walk(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for parts, sizes in batches:
+            yield pd.Series([[] if s is None else [" ".join(p[a:b]) for a, b in spans([int(x) for x in s], most, overlap)] for p, s in zip(parts, sizes, strict=True)], dtype=object)
 
     parts = tx.segments(text)
-    return F.transform(walk(F.transform(parts, count)), lambda s: F.array_join(F.slice(parts, s["a"] + 1, s["b"] - s["a"]), " "))
+    return walk(parts, F.transform(parts, count))
 
 
 def chunk_documents(docs: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP, count=None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,27 @@ def by_query(queries: DataFrame, hits: DataFrame, truth: DataFrame, top_k: int =
     return out.select("query_id", "n_targets", "eval_k", "hits", (F.col("hits") > 0).cast("int").alias("hit"), recall.alias("recall"))
 
 
-def summary(rows: DataFrame, method: str) -> DataFrame:
-    return rows.agg(F.count("*").alias("queries"), (100 * F.avg("hit")).alias("hit_rate"), (100 * F.avg("recall")).alias("recall")).select(F.lit(method).alias("method"), "queries", "hit_rate", "recall")
+def summary(rows: DataFrame, method: str, total_ms: float | None = None) -> DataFrame:
+    """One row: method, queries, hit_rate, recall; with the time of a timed batch also total_ms and avg_ms a query."""
+    out = rows.agg(F.count("*").alias("queries"), (100 * F.avg("hit")).alias("hit_rate"), (100 * F.avg("recall")).alias("recall")).select(F.lit(method).alias("method"), "queries", "hit_rate", "recall")
+    return out if total_ms is None else out.withColumns({"total_ms": F.lit(float(total_ms)), "avg_ms": F.lit(float(total_ms)) / F.greatest("queries", F.lit(1))})
+
+
+def timed(hits: DataFrame, path: str) -> tuple[DataFrame, float]:
+    """(the hits as written to path, milliseconds that retrieving them took): evaluation reads them and isn't timed."""
+    began = time.perf_counter()
+    hits.write.mode("overwrite").parquet(path)
+    return hits.sparkSession.read.parquet(path), 1000 * (time.perf_counter() - began)
+
+
+def methods(rows: list[DataFrame]) -> DataFrame:
+    """The summaries of several methods with `place`, from the best on."""
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    table = reduce(DataFrame.unionByName, rows)
+    return table.withColumn("place", F.row_number().over(Window.orderBy(F.col("hit_rate").desc(), F.col("recall").desc(), "method")))  # a row for each method
 
 
 def best(methods: DataFrame) -> DataFrame:
@@ -48,3 +69,16 @@ def details(parts: dict[str, DataFrame]) -> DataFrame:
         one = one.select("query_id", F.lit(name).alias("method"), "docs")
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "docs")))).alias("results"))
+
+
+def write_details(parts: dict[str, DataFrame], path: str) -> None:
+    """A line of JSON for each query and method, as they come: query_id, method, documents in their order."""
+    for name, hits in parts.items():
+        docs = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document_id"))), lambda h: h["document_id"])
+        hits.groupBy("query_id").agg(docs.alias("documents")).withColumn("method", F.lit(name)).write.mode("append").json(path)
+
+
+def read_details(spark, path: str, document: str = "long") -> DataFrame:
+    """query_id, results (method to documents) of written lines, merged by query."""
+    rows = spark.read.schema(f"query_id long, method string, documents array<{document}>").json(path)
+    return rows.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "documents")))).alias("results"))

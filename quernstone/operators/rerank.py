@@ -36,6 +36,11 @@ def lcs(a: Column, b: Column) -> Column:
     return lengths(a, b)
 
 
+def with_tokens(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits with query_tokens and tokens; chunks: chunk_id, tokens."""
+    return hits.join(chunks.select("chunk_id", "tokens"), "chunk_id").join(queries.select("query_id", F.col("tokens").alias("query_tokens")), "query_id")
+
+
 def rerank(hits: DataFrame, limit: int | None = None) -> DataFrame:
     """hits: query_id, rank, query_tokens, tokens. By LCS, ties by the rank before; empty queries stay as they are."""
     scored = hits.withColumn("lcs", lcs(F.col("query_tokens"), F.col("tokens")))

@@ -5,10 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import times
+from quernstone.operators.paths import remove, shared_folder
+
+DOCUMENTS = "document_id long, external_id string, content string, description string, created_at long, source_type short, sender string"
+CHUNKS = "chunk_id long, document_id long, chunk_index int, content string, tokens array<string>, embedding array<float>"
+
+
+def open_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table under a fixed schema; an empty one where there is none yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def get(df: DataFrame, value, key: str = "document_id") -> DataFrame:
+    """The row with this key, which is pushed to the scan; none if there is no such row."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def external_ids(docs: DataFrame) -> DataFrame:
+    """A scan of the ids alone."""
+    return docs.select("external_id")
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n of each table."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
+
+
+def of_split(queries: DataFrame, split: str | None) -> DataFrame:
+    """Queries of one split; all without one."""
+    return queries.where(F.col("split") == split) if split else queries
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -43,7 +79,8 @@ def first_chunks(chunks: DataFrame, document: str = "document_id") -> DataFrame:
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """df with `place`: the rank of key from 0. Keys are ranked by ranges, whose counts give each its start."""
     ranges = df.select(key).repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    ranges = ranges.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranges.persist()
+    shared_folder(df.sparkSession)
+    ranges = ranges.checkpoint()  # a partition that ran anew could number its rows otherwise
     before = ranges.groupBy("part").agg(F.count("*").alias("n"))
     before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
@@ -148,3 +185,48 @@ def page(df: DataFrame, key: str, offset: int, limit: int, text: str = "content"
 
 def to_json(df: DataFrame, *columns: str) -> Column:
     return F.to_json(F.struct(*(columns or df.columns)))
+
+
+def item_json(docs: DataFrame, value, chunks: DataFrame | None = None, key: str = "document_id") -> DataFrame:
+    """json of the row with this key, with its chunks in their order if they are given."""
+    row = get(docs, value, key)
+    if chunks is not None:
+        own = get(chunks, value, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", *[c for c in chunks.columns if c not in ("chunk_index", key)]))).alias("chunks"))
+        row = row.join(own, key, "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(own.schema["chunks"].dataType)))
+    return row.select(key, to_json(row).alias("json"))
+
+
+RESULT = "array<struct<chunk_id:long,document_id:long,content:string,score:double>>"
+
+
+def results_to_json(hits: DataFrame) -> DataFrame:
+    """query_id, json: the hits of each query in the order of their ranks."""
+    one = F.struct("rank", F.struct("chunk_id", "document_id", "content", "score").alias("h"))
+    return hits.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["h"])).alias("json"))
+
+
+def results_from_json(rows: DataFrame) -> DataFrame:
+    """query_id, rank, chunk_id, document_id, content, score; malformed JSON has no hits."""
+    hits = rows.select("query_id", F.posexplode(F.from_json("json", RESULT)).alias("at", "h"))
+    return hits.select("query_id", (F.col("at") + 1).alias("rank"), "h.*")
+
+
+def import_query_embeddings(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries with embeddings, one row: matched, bad_size, unmatched). vectors: external_id, embedding of any length but 0."""
+    good = vectors.where(F.size("embedding") > 0).groupBy("external_id").agg(F.first("embedding").alias("new"))
+    old = F.col("embedding") if "embedding" in queries.columns else F.lit(None).cast("array<float>")
+    out = queries.join(good, "external_id", "left").withColumn("embedding", F.coalesce("new", old)).drop("new")
+    lost = vectors.where(F.size("embedding") > 0).join(queries, "external_id", "left_anti").agg(F.count("*").alias("unmatched"))
+    errors = vectors.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("embedding"), F.lit(0)) < 1).alias("bad_size")).crossJoin(lost)
+    return out, errors.select((F.col("n") - F.col("bad_size") - F.col("unmatched")).alias("matched"), "bad_size", "unmatched")
+
+
+def remove_all(docs: DataFrame, chunks: DataFrame, *indexes: str) -> tuple[DataFrame, DataFrame]:
+    """Empty tables of the same columns; the folders of indexes are deleted."""
+    for path in indexes:
+        remove(docs.sparkSession, path)
+    return docs.where(F.lit(False)), chunks.where(F.lit(False))
+
+
+def remove_chunks(chunks: DataFrame, *indexes: str) -> DataFrame:
+    return remove_all(chunks, chunks, *indexes)[1]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,5 +91,31 @@ def filter_specs(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(targets).alias("target_id"), window["start_date"].alias("start_date"), window["end_date"].alias("end_date"), "domains")
 
 
+def date_patch(spark: SparkSession, path: str) -> DataFrame:
+    """external_id, ts of a patch file; times of 0 or less are left out. `store.set_created_at` applies it."""
+    return json_lines(spark, path, PATCH).where("id is not null and ts > 0").select(F.col("id").alias("external_id"), "ts")
+
+
+@dataclass(frozen=True)
+class DocumentSource:
+    """Where documents come from: rows gives a table with external_id and body, which are cleaned to the store's shape."""
+
+    rows: Callable[[SparkSession], DataFrame]
+    prefix: str = "document"
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        return self.rows(spark).select(*document(self.prefix, F.col("external_id"), tx.clean_document(F.col("body")), F.lit(0), F.lit(""))).where("content != ''")
+
+
+def text_source(path: str) -> DocumentSource:
+    """A document for each text file, named by it."""
+    return DocumentSource(lambda spark: spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("external_id"), F.col("value").alias("body")))
+
+
+def html_source(path: str, id_: str = "page_id", html: str = "html") -> DocumentSource:
+    """A document for each row of a table of pages; tags go in cleaning."""
+    return DocumentSource(lambda spark: spark.read.parquet(path).select(F.col(id_).cast("string").alias("external_id"), F.col(html).alias("body")))
+
+
 def append_history(run: DataFrame, path: str) -> None:
     run.write.mode("append").json(path)

@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.functions import embed, text
 from quernstone.operators import bm25, evaluate, filters, fusion, rerank, store, vector_index
 from quernstone.plans import retrievers, stages
+from quernstone.plans.retrievers import Bm25, Ensemble, Reranked, Vector, Weighted, features, retrieve_texts
 from quernstone.sources import records
 from quernstone.streaming import incremental
 
@@ -253,3 +256,133 @@ def test_incremental(spark, vectors, tmp_path):
     incremental.add_vectors(stream, f"{tmp_path}/v", f"{tmp_path}/ckpt").awaitTermination(120)
     added = spark.read.parquet(f"{tmp_path}/v/added")
     assert added.count() == 300 and {(r.chunk_id - 1000, r.cluster_id) for r in added.collect()} == {(r.chunk_id, r.cluster_id) for r in spark.read.parquet(f"{tmp_path}/v/vectors").collect()}
+
+
+def test_added_vectors_are_found(spark, vectors, tmp_path):
+    """Keys of the build or of earlier batches aren't added again; searches of the loaded index see the others."""
+    path, source = str(tmp_path / "index"), str(tmp_path / "new")
+    vectors = vectors.where("size(embedding) > 0")
+    first = vectors.where("chunk_id < 60")
+    centroids = vector_index.train(first, 4)
+    vector_index.save(vector_index.assign(first, centroids), centroids, path)
+    for _ in range(2):
+        vectors.where("chunk_id >= 50").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(vectors.schema).parquet(source)
+        incremental.add_vectors(stream, path, str(tmp_path / "log")).awaitTermination()
+    index, found = vector_index.load(spark, path)
+    assert index.count() == vectors.count() == index.select("chunk_id").distinct().count()
+    queries = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    want = vector_index.brute_force(queries, vectors, 5).select("query_id", "chunk_id").collect()
+    assert set(vector_index.search(queries, index, found, 5, nprobe=4).select("query_id", "chunk_id").collect()) == set(want)
+    assert vector_index.ready(spark, path) and vector_index.info(index, found).first().clusters == 4
+    vector_index.remove(spark, path)
+    assert not vector_index.ready(spark, path)
+
+
+def test_index_life(spark, tmp_path):
+    path = str(tmp_path / "bm25")
+    chunks = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "c C d a"), (4, None)], "chunk_id long, content string")
+    index = bm25.rebuild(chunks, path, text.tokens)
+    terms = bm25.query_terms(spark.createDataFrame([(1, ["a", "c", "none"])], "query_id long, tokens array<string>"))
+    fresh = bm25.build(chunks.select("chunk_id", F.coalesce(text.tokens(F.col("content")), F.array().cast("array<string>")).alias("tokens")))
+    for search in (bm25.exact, bm25.pruned, bm25.rm3_search):
+        one, two = ([(r.chunk_id, round(r.score, 9)) for r in search(i, terms).orderBy("rank").collect()] for i in (index, fresh))
+        assert one == two, search.__name__
+    assert bm25.ready(spark, path)
+    docs, gone = store.remove_all(chunks, chunks, path)
+    assert not bm25.ready(spark, path) and docs.count() == gone.count() == 0 and docs.columns == chunks.columns
+
+
+def test_stored_index_is_pruned_by_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25, "PART_TOKENS", 10)
+    chunks = spark.createDataFrame([(i, [f"t{i % 7}", f"t{i % 5}", "t"]) for i in range(60)], "chunk_id long, tokens array<string>")
+    bm25.save(bm25.build(chunks), str(tmp_path / "i"))
+    index = bm25.load(spark, str(tmp_path / "i"))
+    assert index.parts == 19
+    terms = bm25.query_terms(spark.createDataFrame([(1, ["t3", "t6"])], "query_id long, tokens array<string>"))
+    want = [(r.chunk_id, round(r.score, 9)) for r in bm25.exact(bm25.build(chunks), terms).orderBy("rank").collect()]
+    assert [(r.chunk_id, round(r.score, 9)) for r in bm25.exact(index, terms).orderBy("rank").collect()] == want
+
+
+def test_exchange_files(spark, tmp_path):
+    patch = tmp_path / "patch.jsonl"
+    patch.write_text('{"id": "sms_1", "ts": 5}\n{"id": "sms_2", "ts": 0}\nno json\n{"id": null, "ts": 7}\n')
+    assert [tuple(r) for r in records.date_patch(spark, str(patch)).collect()] == [("sms_1", 5)]
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "a.txt").write_text("  x  y \n\n\n\nz")
+    docs = records.text_source(str(tmp_path / "texts")).documents(spark).collect()
+    assert [(r.external_id, r.content) for r in docs] == [("document_a", "x y\n\nz")]
+    hits = spark.createDataFrame([(1, 9, 2), (1, 8, 1), (2, 7, 1)], "query_id long, document_id long, rank int")
+    evaluate.write_details({"m": hits, "n": hits.where("query_id = 1")}, str(tmp_path / "d"))
+    got = {r.query_id: dict(r.results) for r in evaluate.read_details(spark, str(tmp_path / "d")).collect()}
+    assert got == {1: {"m": [8, 9], "n": [8, 9]}, 2: {"m": [7]}}
+    rows = spark.createDataFrame([(1, "no json"), (2, '[{"chunk_id":3,"document_id":4,"content":"c","score":0.5}]')], "query_id long, json string")
+    assert [(r.query_id, r["rank"], r.chunk_id, r.score) for r in store.results_from_json(rows).collect()] == [(2, 1, 3, 0.5)]
+    assert store.open_table(spark, str(tmp_path / "none"), store.CHUNKS).columns[0] == "chunk_id"
+    with_time, ms = evaluate.timed(hits, str(tmp_path / "hits"))
+    assert with_time.count() == 3 and ms > 0
+    queries = spark.createDataFrame([("q1", None), ("q2", None)], "external_id string, embedding array<float>")
+    new = spark.createDataFrame([("q1", [1.0]), ("q2", []), ("q3", [2.0])], "external_id string, embedding array<float>")
+    out, errors = store.import_query_embeddings(queries, new)
+    assert {r.external_id: r.embedding for r in out.collect()} == {"q1": [1.0], "q2": None} and tuple(errors.first()) == (1, 1, 1)
+
+
+def test_embedder(spark):
+    model = embed.buckets(4)
+    long_text = " ".join(f"w{i}" for i in range(600))
+    df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, long_text)], "id long, t string")
+    ids = {r.id: r.x for r in df.select("id", model.ids(F.col("t")).alias("x")).collect()}
+    assert ids[2] == [2, 3] and ids[3] is None and len(ids[4]) == 512 and ids[1][0] == 2 and ids[1][-1] == 3
+    for r in df.select("id", model.column(F.col("t")).alias("v")).collect():
+        if r.id == 3:
+            assert r.v is None
+        else:
+            counts = [sum(x % 4 == k for x in ids[r.id]) for k in range(4)]
+            size = sum(c * c for c in counts) ** 0.5
+            assert r.v == pytest.approx([c / size for c in counts], abs=1e-6)
+    pad = embed.embedded([[2, 3], [2, 5, 9, 3]], lambda i, m: np.ones((*i.shape, 3)) * i[:, :, None], 3, 2)
+    assert pad == pytest.approx(np.full((2, 3), 3**-0.5))
+    back = spark.createDataFrame([([2, 7, 8, 3],), (None,)], "x array<int>").select(embed.decoded(F.col("x"), lambda: lambda ids: "-".join(map(str, ids))).alias("t")).collect()
+    assert [r.t for r in back] == ["7-8", None]
+
+
+def test_text_entry(spark, index):
+    texts = spark.createDataFrame([(1, "A d", "")], "query_id long, text string, refined_text string")
+    lexical = Bm25(index)
+    hits = retrieve_texts(lexical, texts).orderBy("rank").collect()
+    assert [(r.chunk_id, round(r.score, 6)) for r in hits] == [(3, 1.737122), (1, 0.885364)]
+    assert features(texts, lexical.needs()).columns == ["query_id", "tokens"]
+    vectors = Vector(spark.createDataFrame([(1, [1.0])], "chunk_id long, embedding array<float>"))
+    both = Ensemble([Weighted(lexical), Weighted(vectors), Weighted(Vector(None))])
+    assert both.needs() == {"tokens", "embedding"} and Reranked(vectors, None).needs() == {"tokens", "embedding"}
+    with pytest.raises(ValueError):
+        features(texts, {"embedding"})
+    with pytest.raises(ValueError):
+        both.retrieve(texts, depths=[1])
+    with_rm3 = Bm25(index, rm3=bm25.Rm3())
+    queries = features(texts, {"tokens"})
+    assert [r.chunk_id for r in with_rm3.by_tokens(queries).orderBy("rank").collect()] == [3, 1]
+    assert with_rm3.retrieve(queries).count() == 3
+
+
+def test_reranked_pool(spark):
+    """The pool is three times the depth; a chunk that only the pool has can win."""
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(1, 9)], "chunk_id long, embedding array<double>")
+    chunks = spark.createDataFrame([(i, ["x", "y"] if i in (6, 7) else ["z"]) for i in range(1, 9)], "chunk_id long, tokens array<string>")
+    queries = spark.createDataFrame([(1, [0.0], ["x", "y"])], "query_id long, embedding array<double>, tokens array<string>")
+    got = Reranked(Vector(vectors), chunks, 2).retrieve(queries).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in got] == [(6, 2.0), (1, 0.0)]
+    centroids = spark.createDataFrame([(0, [4.0])], "cluster_id int, centroid array<double>")
+    stored = vector_index.reranked(queries, vector_index.assign(vectors, centroids), centroids, chunks, 2).orderBy("rank").collect()
+    assert [(r.chunk_id, r.lcs) for r in stored] == [(6, 2), (1, 0)]
+
+
+def test_filters_of_hits(spark):
+    hits = spark.createDataFrame([(q, c) for q in ("q1", "q2", "q3") for c in (1, 2)], "query_id string, chunk_id long")
+    chunks = spark.createDataFrame([(1, 0, 1767970800000), (2, 1, 0)], "chunk_id long, source_type int, created_at long")
+    wanted = spark.createDataFrame([("q1", [0], None, None), ("q2", [4], None, None)], "query_id string, types array<int>, low long, high long")
+    keep = lambda fallback: {(r.query_id, r.chunk_id) for r in filters.passing(hits, wanted, chunks, fallback).collect()}
+    assert keep(False) == {("q1", 1), ("q3", 1), ("q3", 2)}
+    assert keep(True) == keep(False) | {("q2", 1), ("q2", 2)}
+    day = spark.createDataFrame([("q1", [], 1767970800000, 1767970800000 + 86_399_999), ("q2", [], 1, 86_399_999)], "query_id string, types array<int>, low long, high long")
+    assert [r.query_id for r in filters.matching(day, chunks).collect()] == ["q1"]
