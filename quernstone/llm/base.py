@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.paths import shared_folder
+
 #: Rows up to which a narrow table (under 100 bytes a row) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a folder of our own only where none is named."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage in the folder that the session names; a folder of our own only on a local master without one."""
+    sc, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

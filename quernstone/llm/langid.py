@@ -11,7 +11,7 @@ A byte that no language has seen costs the same wherever it stands but for the e
 
 The trees are fitted on at most `fit_docs` texts of each language, those with the least hash of doc_id, and of
 those on the first `fit_bytes` bytes (whole texts, until they reach that size): documented bounds. The order is the same for
-any number of languages. What is broadcast at a time is bounded by `table_bytes` (or one four of languages): larger models score the
+any number of languages. Texts are gathered by fours of languages, a task for each, and only tables reach the driver. What is broadcast at a time is bounded by `table_bytes` (or one four of languages): larger models score the
 texts in passes, one after the other.
 
 Texts that are null or have no letter get `und` and score 0. Ties go to the language first in code-point order.
@@ -20,21 +20,25 @@ With nothing to learn from, all is `und`. Empty tables, repeated rows and null i
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm import wordhash as wh
-from quernstone.llm.base import cut, least_hashed
+from quernstone.llm.base import cut, least_hashed, small
 
-FIT_DOCS, FIT_BYTES, TABLE_BYTES, MAX_LANGS = 600, 3_000_000, 96_000_000, 400
+FIT_DOCS, FIT_BYTES, TABLE_BYTES = 600, 3_000_000, 96_000_000
 #: Bytes of evidence beyond which more text doesn't make the score surer. Languages whose grams are kept together.
 EVIDENCE, TOGETHER = 64, 4
+#: Each byte is its own symbol; one more stands for what precedes a text.
+SYMBOLS = np.arange(256)
 
 
 @dataclass
@@ -55,7 +59,7 @@ class Part:
 class Model:
     langs: list[str]
     order: int
-    symbols: np.ndarray  # byte -> symbol; the last symbol stands for all bytes never seen
+    symbols: np.ndarray  # byte -> symbol; the symbol after the last one precedes texts
     costs: np.ndarray  # (0, symbol, language) -> bits without a context
     parts: list[Part]  # of the languages in their order
     table_bytes: int = TABLE_BYTES
@@ -133,31 +137,40 @@ def part(texts: list[list[bytes]], symbols: np.ndarray, size: int, order: int) -
 
 
 def table(langs: list[str], texts: dict[str, list[bytes]], order: int, table_bytes: int) -> Model:
-    seen = np.unique(np.frombuffer(b"".join(t for x in texts.values() for t in x), np.uint8))
-    size = len(seen) + 1
-    symbols = np.full(256, size - 1, np.int64)
-    symbols[seen] = np.arange(size - 1)
-    made = [part([texts[x] for x in langs[i : i + TOGETHER]], symbols, size, order) for i in range(0, len(langs), TOGETHER)]
-    costs = np.concatenate([np.zeros((size, 0)), *[base for base, _ in made]], axis=1)[None].astype(np.float32)
-    return Model(langs, order, symbols, costs, [p for _, p in made], table_bytes)
+    made = [part([texts[x] for x in langs[i : i + TOGETHER]], SYMBOLS, len(SYMBOLS) + 1, order) for i in range(0, len(langs), TOGETHER)]
+    return assembled(langs, made, order, table_bytes)
+
+
+def assembled(langs: list[str], made: list[tuple[np.ndarray, Part]], order: int, table_bytes: int) -> Model:
+    costs = np.concatenate([np.zeros((len(SYMBOLS) + 1, 0)), *[base for base, _ in made]], axis=1)[None].astype(np.float32)
+    return Model(langs, order, SYMBOLS, costs, [p for _, p in made], table_bytes)
 
 
 def fit(rows: DataFrame, order: int = 3, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES, table_bytes: int = TABLE_BYTES) -> Model:
-    """rows: doc_id, text, lang."""
+    """rows: doc_id, text, lang. Each four of languages is fitted in a task of its own; names and tables reach the driver, texts don't."""
     rows = rows.where("text is not null and lang is not null and doc_id is not null")
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not langs:
+        return assembled([], [], order, table_bytes)
     picked = least_hashed(rows.select("lang", "doc_id"), fit_docs, ["lang"], "doc_id").groupBy("lang", "doc_id").agg(F.min("n").alias("n"))
-    # fit_docs rows for each of a bounded number of languages: small enough to broadcast
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "n", "text").toArrow().to_pylist()
-    texts: dict[str, list[bytes]] = {x: [] for x in langs}
-    used = dict.fromkeys(langs, 0)
-    for r in sorted(got, key=lambda r: (r["lang"], r["n"], r["text"])):
-        if used[r["lang"]] < fit_bytes:
-            texts[r["lang"]].append(t := r["text"].encode())
-            used[r["lang"]] += len(t)
-    return table(langs, texts, order, table_bytes)
+    # fit_docs rows for each language: small enough to broadcast up to some hundreds of them
+    picked = small(picked, fit_docs * len(langs))
+    order_of = Window.partitionBy("lang").orderBy("n", "text")
+    sizes = rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+    before = F.sum(F.octet_length("text")).over(order_of.rowsBetween(Window.unboundedPreceding, -1))
+    used = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < fit_bytes).select("lang", "n", "text")
+    numbers = rows.sparkSession.createDataFrame([(x, i // TOGETHER) for i, x in enumerate(langs)], "lang string, four int")
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = langs[key[0] * TOGETHER : (key[0] + 1) * TOGETHER]
+        frame = frame.sort_values(["lang", "n", "text"])
+        texts = [[t.encode() for t in frame.text[frame.lang == x]] for x in own]
+        base, p = part(texts, SYMBOLS, len(SYMBOLS) + 1, order)
+        return pd.DataFrame({"four": [key[0]], "part": [pickle.dumps((base, p.n, p.grams, p.costs, p.contexts, p.escapes))]})
+
+    fitted = used.join(small(numbers, len(langs)), "lang").groupBy("four").applyInPandas(run, "four int, part binary")
+    made = [pickle.loads(r.part) for r in sorted(fitted.toLocalIterator(), key=lambda r: r.four)]
+    return assembled(langs, [(base, Part(*rest)) for base, *rest in made], order, table_bytes)
 
 
 def places(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +198,7 @@ def part_costs(p: Part, base: np.ndarray, history: np.ndarray, coded: np.ndarray
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits by text and language. The first bytes of a text have what precedes as a history of unseen bytes."""
+    """Bits by text and language. The first bytes of a text have what precedes as a history of its own symbol."""
     size, n = model.costs.shape[1], len(offsets) - 1
     out = np.zeros((n, len(model.langs)))
     coded = model.symbols[data]

@@ -260,6 +260,20 @@ def test_near_fingerprints(spark):
         assert got == {(q, i): (prints[q] ^ p).bit_count() for q in range(20) for i, p in enumerate(prints) if (prints[q] ^ p).bit_count() <= radius}
 
 
+def test_near_counts_of_the_query(spark, tmp_path):
+    """n_near of op4 against all pairs, with exact copies, on a table of its own."""
+    rng = random.Random(17)
+    rows = texts(40, 31, 400, 300)
+    for i in (0, 100, 200):
+        rows += [rows[i % 40]] * 3 + [rows[i % 40] + f" tail{k}" for k in range(3)]
+    ids = [*range(0, 400, 100), *rng.sample([x for x in range(1, 400) if x % 100], len(rows) - 4)]
+    spark.createDataFrame(list(zip(ids, rows, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.n_near) for r in simhash.op4_document_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, (f, n) in got.items():
+        assert n == (sum((f ^ g).bit_count() <= simhash.RADIUS for j, (g, _) in got.items() if j != i) if i % 100 == 0 else None)
+
+
 def test_fingerprints_messy(messy, empty, spark):
     got = simhash.edited(messy)
     assert got.count() == messy.count() and got.where("doc_id = 3 and f1 = 0 and f2 = 0 and n_chars = 0").count() == 1
@@ -496,6 +510,43 @@ def test_languages_keep_their_order(spark):
     assert [r.score for r in a] == pytest.approx([r.score for r in b])
 
 
+def test_predictions_by_brute_force(spark):
+    """Whole predictions and scores against plain counts of byte strings, which share no code with the model."""
+    rng = random.Random(3)
+    own = {x: ["".join(rng.choices(alphabet, k=60)) for _ in range(4)] for x, alphabet in {"p": "abcd é", "q": "cdef", "r": "abef ü", "s": "gh", "t": "abcdefgh"}.items()}
+    rows = [(k, t, x) for k, (t, x) in enumerate((t, x) for x, ts in own.items() for t in ts)]
+    asked = [t[:30] for ts in own.values() for t in ts[:1]] + ["zé", "", None, "123", "ab" * 50]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = [(r.lang_pred, r.score) for r in langid.predict(frame(spark, asked), model).orderBy("doc_id").collect()]
+    seen = {x: {k: Counter(t.encode()[i : i + k + 1] for t in ts for i in range(len(t.encode()) - k)) for k in range(4)} for x, ts in own.items()}
+
+    def bits(x, data):
+        total = 0.0
+        for i in range(len(data)):
+            for k in range(min(3, i), -2, -1):
+                if k < 0:
+                    total += 8
+                    break
+                context = data[i - k : i]
+                after = {g: n for g, n in seen[x][k].items() if g[:k] == context}
+                if not after:
+                    continue
+                n, kinds = sum(after.values()), len(after)
+                if data[i - k : i + 1] in after:
+                    total -= log10(after[data[i - k : i + 1]] / (n + kinds)) / log10(2)
+                    break
+                total -= log10(kinds / (n + kinds)) / log10(2)
+        return total
+
+    for (pred, score), t in zip(got, asked, strict=True):
+        if not t or not any(c.isalpha() for c in t):
+            assert (pred, score) == ("und", 0)
+            continue
+        share = {x: bits(x, t.encode()) / max(1, len(t.encode()) / langid.EVIDENCE) for x in own}
+        assert pred == min(share, key=lambda x: (round(share[x], 4), x))
+        assert score == pytest.approx(1 / sum(2 ** (min(share.values()) - b) for b in share.values()), rel=1e-3)
+
+
 def test_language_messy(messy, empty, monkeypatch):
     model = langid.fit(messy)
     got = {(r.doc_id, r.text): r.lang_pred for r in langid.predict(messy, model).collect()}
