@@ -128,7 +128,7 @@ def test_surrogates(spark):
     assert got[3].text == "nothing here 42" and got[4].text is None and got[5].text == ""
     out = got[1].text
     male, female, cyrillic = re.findall(r"(?:Mr\.|Mrs|Herr) (\w+ \w+)", out)
-    assert male.split()[0] in surrogates.MALE_NAMES and female.split()[0] in surrogates.FEMALE_NAMES and re.fullmatch("[А-Яа-я]+", cyrillic.split()[1])
+    assert male.split()[0] in surrogates.NAMES["latin"]["m"] and female.split()[0] in surrogates.NAMES["latin"]["f"] and re.fullmatch("[А-Яа-яЁё]+", cyrillic.split()[1])
     a, b = re.findall(r"\S+@([\w.]+)", out)
     assert a == b and a != "foo.bar.com" and a.endswith(".com")
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}", out)[0].replace(" ", "")
@@ -164,13 +164,93 @@ def test_surrogates_of_full_formats(spark, monkeypatch):
 
 
 def test_wider_surrogates_keep_their_kind(spark):
-    old = ["4111 1111 1111 1111", "+1 (017) 555-7713", "f3ef4d6b2755a36d7d9c25bd72c4d5f6", "Herr Ivan Петров", "Mr O-"]
-    df = spark.createDataFrame([(x,) for x in old], "m string").select("m", surrogates.surrogate(F.col("m"), F.lit("key"), F.lit(surrogates.ROUNDS + 2)).alias("s"))
-    card, phone, secret, name, dash = (r.s for r in df.collect())
-    digits = card.replace(" ", "")
-    assert len(digits) == 18 and sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1], 1)) % 10 == 0
-    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{6}", phone) and re.fullmatch("[0-9a-f]{32}[0-9]{2}", secret)
-    assert re.fullmatch(r"Herr \w+ [А-Я][а-я]{7}", name) and re.fullmatch("Mr [A-Z]-[a-z]{2}", dash)
+    old = [("card", "4111111111111111"), ("phone", "0175557713"), ("secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f6"), ("surname", "петров"), ("surname", "o-"), ("given", "m\x01greek\x01νίκος\x01x")]
+    df = spark.createDataFrame([(k, e, 2, 0) for k, e in old], "kind string, entity string, width int, attempt int")
+    card, phone, secret, name, dash, given = (r.s for r in surrogates.drawn(df, F.lit("key")).collect())
+    assert len(card) == 18 and luhn(card) and re.fullmatch(r"\d{12}", phone) and re.fullmatch("[0-9a-f]{32}[0-9]{2}", secret)
+    assert re.fullmatch("[а-яё]{8}", name) and re.fullmatch("[a-z]-[a-z]{2}", dash)
+    assert len(given.split("-")) == 3 and set(given.split("-")) <= set(surrogates.NAMES["greek"]["m"])
+
+
+def luhn(number):
+    return sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(number[::-1], 1)) % 10 == 0
+
+
+def replaced(spark, *rows, key="k"):
+    return [r.text for r in surrogates.replace(frame(spark, list(rows)), key).orderBy("doc_id").collect()]
+
+
+def test_surrogates_keep_coreference(spark):
+    """Mentions of one entity agree, whatever their titles, case and grouping."""
+    names, cards, phones, mails, cyrillic = replaced(
+        spark, "Mr. Karl Smith met Mr. Smith and Mr Smith, not Dr KARL SMITH", "4111 1111 1111 1111, 4111111111111111, 4111-1111-1111-1111", "(555) 123-4567, 555-123-4567, +1 (555) 123-4567, 555.123.4567, +49 30 1234567", "A.B@X.com, a.b@x.COM", "Herr Иван Петров und Herr Петров"
+    )
+    a, b, c, d = re.fullmatch(r"Mr\. \w+ (\w+) met Mr\. (\w+) and Mr (\w+), not Dr [A-Z]+ (\w+)", names).groups()
+    assert a == b == c != "Smith" and d == a.upper()
+    digits = [re.sub(r"\D", "", x) for x in cards.split(", ")]
+    assert len(set(digits)) == 1 and luhn(digits[0]) and [re.sub(r"\d", "9", x) for x in cards.split(", ")] == ["9999 9999 9999 9999", "9" * 16, "9999-9999-9999-9999"]
+    p = phones.split(", ")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in p[:4]}) == 1 and p[2].startswith("+1 (") and re.fullmatch(r"\+49 \d\d \d{7}", p[4]) and "555-123" not in phones
+    one, two = mails.split(", ")
+    assert one.lower() == two.lower() and re.fullmatch(r"[A-Z]\.[A-Z]@[a-z]\.com", one)
+    given, surname, again = re.fullmatch(r"Herr (\w+) (\w+) und Herr (\w+)", cyrillic).groups()
+    assert surname == again != "Петров" and given in surrogates.NAMES["cyrillic"]["m"] and re.fullmatch("[А-ЯЁ][а-яё]+", surname)
+
+
+def test_what_is_no_entity_stays(spark):
+    rows = ["1234567890123", "sums of 12 345 678 and +1 100", "Mr x", "1.2.3", "+123"]
+    got = surrogates.replace(frame(spark, rows), "k").orderBy("doc_id").collect()
+    assert [r.text for r in got] == rows and {r.n_entities for r in got} == {0}
+
+
+def test_crowded_local_parts_are_fast_and_distinct(spark):
+    """All of a format's 26 local parts at one domain, short domains, and all addresses of single digits."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails, domains = [f"{c}@x.com" for c in letters], [f"me@{c}.org" for c in letters]
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    got = replaced(spark, *mails, *domains, *ips)
+    assert len(set(got)) == len(got) and not set(got) & {*mails, *domains, *ips}
+    assert len({x.split("@")[1] for x in got[:26]}) == 1 and len({x.split("@")[1] for x in got[26:52]}) == 26 and not {x.split("@")[1] for x in got[26:52]} & {f"{c}.org" for c in letters}
+
+
+def test_surrogates_by_brute_force(spark):
+    """Over random entities of all kinds: one surrogate for each, none shared, none real, formats kept."""
+    rng = random.Random(4)
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    made = {
+        "mail": [f"{some('abcxyz', 3)}.{some('abc', 2)}@{some('pqr', 3)}.com" for _ in range(80)], "ip": [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(80)],
+        "phone": [f"({some('123456789', 3)}) {some('0123456789', 3)}-{some('0123456789', 4)}" for _ in range(80)], "secret": ["a1" + some("0123456789abcdef", 30) for _ in range(40)],
+        "name": [f"{t} {g} {x}" for t, g in (("Mr", "Karl"), ("Mrs", "Eva"), ("Mr", "Otto")) for x in {some("AB", 1) + some("aeimnrst", 4) for _ in range(40)}],
+    }
+    rows = [(k, x) for k, xs in made.items() for x in xs]
+    rng.shuffle(rows)
+    got = replaced(spark, *[f"see {x}; again {x}." for _, x in rows])
+    by_kind = {k: {} for k in made}
+    for (k, x), t in zip(rows, got, strict=True):
+        one, two = re.fullmatch(r"see (.+); again (.+)\.", t).groups()
+        assert one == two == by_kind[k].setdefault(x, one)
+    shape = lambda x: re.sub("[aeiouy]", "a", re.sub("[b-df-hj-np-tv-xz]", "b", re.sub(r"\d", "9", x)))
+    for k, found in by_kind.items():
+        assert len(set(found.values())) == len(found) and not set(found.values()) & set(found), k
+        if k in ("ip", "phone"):
+            assert all(shape(x) == shape(y) for x, y in found.items()), k
+    surnames = {x.split()[-1]: y.split()[-1] for x, y in by_kind["name"].items()}
+    assert len(set(surnames.values())) == len(surnames) and all(shape(x.lower()) == shape(y.lower())[: len(x)] for x, y in surnames.items())
+    domains = {x.split("@")[1]: y.split("@")[1] for x, y in by_kind["mail"].items()}
+    assert all(y.split("@")[1] == domains[x.split("@")[1]] for x, y in by_kind["mail"].items()) and len(set(domains.values())) == len(domains) and not set(domains) & set(domains.values())
+
+
+def test_permuted_addresses(spark):
+    df = spark.range(70_000).select(F.concat_ws(".", *[(F.shiftright("id", s).bitwiseAND(255)).cast("string") for s in (24, 16, 8, 0)]).alias("ip"))
+    assert df.select(surrogates.permuted(F.col("ip"), F.lit("k")).alias("p")).distinct().count() == 70_000
+
+
+def test_surrogates_beyond_the_broadcast(spark, monkeypatch):
+    rows = ["Mr Karl Smith", "nothing", None, "", "a@b.com and a@b.com"]
+    want = replaced(spark, *rows)
+    monkeypatch.setattr(surrogates, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(surrogates, "small", lambda df, n: df)
+    assert replaced(spark, *rows) == want
 
 
 def test_surrogates_messy(messy, empty):
