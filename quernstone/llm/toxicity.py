@@ -164,10 +164,16 @@ def solve(sets: list[np.ndarray], labels: np.ndarray, swaps: dict[int, list[int]
     """An L1 fit picks the words; a second fit of those alone, with a slight L2, sets their weights unshrunk."""
     if len(sets) == 0 or labels.min() == labels.max():
         return Model(-2.0)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    words, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    joined = np.concatenate(sets)
+    words, df = np.unique(joined, return_counts=True)
     terms = np.array(sorted(swaps), np.uint64)
-    kept = (df >= min_docs) | np.isin(words, terms)
+    words = words[(df >= min_docs) | np.isin(words, terms)]
+    # of the other words, nothing is held on to
+    inverse = np.minimum(np.searchsorted(words, joined), max(0, len(words) - 1)).astype(np.int32)
+    known = words[inverse] == joined if len(words) else np.zeros(len(joined), bool)
+    rows, inverse, kept = rows[known], inverse[known], np.ones(len(words), bool)
+    del joined, known
     w, b = np.zeros(0), float(np.log(labels.mean() / (1 - labels.mean())))
     for fit in (0, 1):
         use = kept[inverse]
