@@ -43,3 +43,17 @@ def least_hashed(df: DataFrame, n: int, by: list[str], key: str) -> DataFrame:
         few = df.where(F.col("h") <= low + high * min(1.0, (2 * n + 100) / max(1, df.count())))
     order = Window.partitionBy(*by).orderBy("h", key)
     return few.withColumn("lh_n", F.row_number().over(order)).where(F.col("lh_n") <= n).select(*df.columns, F.col("lh_n").alias("n"))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with their group; groups has a row for each key that isn't null, with `size`, the number of its rows.
+
+    Groups that hold more rows than an average partition are at most as many as partitions: those are broadcast, so that
+    their rows stay where they are; only rows of the others are dealt by key. Rows without a key aren't dealt either.
+    """
+    limit = max(1, (groups.agg(F.sum("size")).first()[0] or 0) // partitions(rows.sparkSession))
+    heavy, light = groups.where(F.col("size") > limit), groups.where(F.col("size") <= limit)
+    found = rows.join(F.broadcast(heavy), key)
+    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    none = rows.where(F.col(key).isNull())
+    return found.unionByName(rest).unionByName(none, allowMissingColumns=True).drop("size")

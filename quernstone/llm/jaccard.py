@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quernstone.llm import wordhash as wh
-from quernstone.llm.base import BROADCAST_ROWS, cut, small
+from quernstone.llm.base import BROADCAST_ROWS, cut, small, with_groups
 from quernstone.llm.components import components
 
 TILE, SKETCH, SLICES, LEAST = 1024, 1 << 20, 16, 512  # nodes, counters, parts they are summed in, places of a bitmap
@@ -402,8 +402,9 @@ def linked(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that is reached by links, itself included."""
     texts = linked(docs, text, n, percent)
-    least = texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id"))
-    return texts.join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    texts = cut(texts)
+    least = cut(texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")))
+    return with_groups(texts, least, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def surplus(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -414,8 +415,8 @@ def surplus(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80)
     texts = linked(docs, text, n, percent).where("node is not null")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     rows = cut(texts.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n")))
-    first = rows.groupBy("node").agg(F.min(order).alias("first"))
-    marked = rows.join(first, "node").select("doc_id", F.col("text_hash").alias("nc_hash"), "n", order.eqNullSafe(F.col("first")).alias("stays"))
+    first = cut(rows.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("size")))
+    marked = with_groups(rows, first, "node").select("doc_id", F.col("text_hash").alias("nc_hash"), "n", order.eqNullSafe(F.col("first")).alias("stays"))
     return marked.where("not stays").select("doc_id", "nc_hash"), marked.where("stays and n > 1").select("doc_id", "nc_hash")
 
 

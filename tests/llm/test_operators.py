@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontam, jaccard, langid, linededup, lm, mixing, simhash, surrogates, toxicity, urls
-from quernstone.llm.base import least_hashed
+from quernstone.llm.base import least_hashed, with_groups
 from quernstone.llm.components import components
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,6 +52,14 @@ def test_least_hashed(spark):
     assert {r.k for r in got} == want
 
 
+@pytest.mark.parametrize("keys", [[1] * 50 + [2, 3, 3, None, None], [None], [], list(range(20))])
+def test_with_groups(spark, keys):
+    rows = spark.createDataFrame(list(enumerate(keys)), "i long, k long")
+    groups = rows.where("k is not null").groupBy("k").agg(F.min("i").alias("low"), F.count("*").alias("size"))
+    got = {r.i: (r.k, r.low) for r in with_groups(rows, groups, "k").collect()}
+    assert got == {i: (k, None if k is None else keys.index(k)) for i, k in enumerate(keys)}
+
+
 # ---- op1
 
 
