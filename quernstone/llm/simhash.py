@@ -24,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.base import cut, partitions, small
+from quernstone.llm.base import partitions
 
 SHINGLE, PART, RADIUS = 5, 4096, 6
 LANES = (1 << 48) | (1 << 32) | (1 << 16) | 1  # the lowest bit of each 16
@@ -178,16 +178,16 @@ def members(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(least, ["f1", "f2"]).select(key, "class")
 
 
+def neighbours(queries: DataFrame, index: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
+    """key, n_near of the queries: how many rows of the index, besides the query's own, lie within the radius (key, f1, f2 in both)."""
+    counts = near(queries, index, radius, key).groupBy("q").agg(F.sum("n").alias("n"))
+    return members(queries, key).join(counts, F.col("class") == F.col("q")).select(key, (F.col("n") - 1).alias("n_near"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_near: for ids divisible by 100, how many other documents lie within RADIUS bits; null for other ids."""
-    found = cut(edited(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    asked = found.where("doc_id % 100 = 0").select("doc_id", "f1", "f2")
-    counts = near(asked, found.select("doc_id", "f1", "f2")).groupBy("q").agg(F.sum("n").alias("n"))
-    near_by = members(asked).join(counts, F.col("class") == F.col("q")).groupBy(F.col("doc_id").alias("q_id")).agg((F.max("n") - 1).alias("n_near"))
-    near_by = cut(near_by)
-    found = found.join(small(near_by, near_by.count()), F.col("doc_id") == F.col("q_id"), "left")
+    found = edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     like = lambda p: likeness(F.col("f1"), F.col("f2"), F.col(f"{p}1"), F.col(f"{p}2"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", text_of(F.col("f1"), F.col("f2")).alias("fingerprint"), text_of(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
-        like("e").alias("near_edited"), like("x").alias("near_next"), "n_near",
+        like("e").alias("near_edited"), like("x").alias("near_next"),
     )

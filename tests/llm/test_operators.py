@@ -348,18 +348,15 @@ def test_near_fingerprints(spark):
         assert got == {(q, i): (prints[q] ^ p).bit_count() for q in range(20) for i, p in enumerate(prints) if (prints[q] ^ p).bit_count() <= radius}
 
 
-def test_near_counts_of_the_query(spark, tmp_path):
-    """n_near of op4 against all pairs, with exact copies, on a table of its own."""
-    rng = random.Random(17)
+def test_neighbours(spark):
+    """Counts of texts' fingerprints against all pairs, with exact copies and slight edits."""
     rows = texts(40, 31, 400, 300)
-    for i in (0, 100, 200):
-        rows += [rows[i % 40]] * 3 + [rows[i % 40] + f" tail{k}" for k in range(3)]
-    ids = [*range(0, 400, 100), *rng.sample([x for x in range(1, 400) if x % 100], len(rows) - 4)]
-    spark.createDataFrame(list(zip(ids, rows, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (int(r.fingerprint, 16), r.n_near) for r in simhash.op4_document_fingerprints(spark, str(tmp_path)).collect()}
-    assert len(got) == len(rows)
-    for i, (f, n) in got.items():
-        assert n == (sum((f ^ g).bit_count() <= simhash.RADIUS for j, (g, _) in got.items() if j != i) if i % 100 == 0 else None)
+    for i in (0, 10, 20):
+        rows += [rows[i]] * 3 + [rows[i] + f" tail{k}" for k in range(3)]
+    prints = simhash.fingerprints(frame(spark, rows))
+    bits = {r.doc_id: (r.f1 % (1 << 64)) << 64 | r.f2 % (1 << 64) for r in prints.collect()}
+    got = {r.doc_id: r.n_near for r in simhash.neighbours(prints.where("doc_id % 10 = 0"), prints).collect()}
+    assert got == {i: sum((bits[i] ^ g).bit_count() <= simhash.RADIUS for j, g in bits.items() if j != i) for i in bits if i % 10 == 0}
 
 
 def test_fingerprints_messy(messy, empty, spark):
