@@ -12,7 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not (spark.sparkContext.master or "").startswith("local["):
+    master = spark.sparkContext.master or ""
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
