@@ -422,3 +422,24 @@ def surplus(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80)
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), n=4, percent=85)
+
+
+#: All pairs of distinct sets that share a shingle, and components by repeated joins: for small tables.
+SQL = r"""
+WITH RECURSIVE low AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+sized AS (SELECT r, w, least(4, len(w)) AS n FROM low WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT r, array_to_string(w[i:i + n - 1], ' ') AS shingle FROM sized, unnest(range(1, len(w) - n + 2)) t(i)),
+sets AS (SELECT r, count(*) AS n_shingles, list(shingle ORDER BY shingle) AS shingles FROM shingles GROUP BY r),
+classes AS (SELECT min(r) AS node, any_value(n_shingles) AS n, shingles FROM sets GROUP BY shingles),
+member AS (SELECT r, node FROM sets JOIN classes USING (shingles)),
+flat AS (SELECT node, n, unnest(shingles) AS shingle FROM classes),
+met AS (SELECT x.node AS a, y.node AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS same
+  FROM flat x JOIN flat y ON x.shingle = y.shingle AND x.node < y.node GROUP BY x.node, y.node),
+links AS (SELECT a, b FROM met WHERE 100 * same >= 85 * (na + nb - same)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node AS start, node AS b FROM classes UNION SELECT start, l.b FROM reach JOIN both_ways l ON l.a = reach.b),
+least AS (SELECT start AS node, min(doc_id) AS component_id FROM reach JOIN member ON member.node = reach.b JOIN low USING (r) GROUP BY start)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM low LEFT JOIN sets USING (r) LEFT JOIN member USING (r) LEFT JOIN least USING (node)
+"""

@@ -1,4 +1,5 @@
 import corpus_pipeline
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,18 @@ def test_queries_are_complete():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    names = sorted(df.columns)
+    show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(tuple(show(r[c]) for c in names) for r in df.collect()) == sorted(tuple(show(v) for v in row) for row in want)
+
+
 def test_stages(spark, tmp_path):
     """Each stage against plain Python, on what the stage before it kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
