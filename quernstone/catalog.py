@@ -360,9 +360,9 @@ def ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vector_index.search(vector_queries(spark, sf_dir), *clustered(spark, sf_dir), nprobe=2, allowed=allowed_vectors(spark, sf_dir)), "distance")
 
 
-@query()
+@query(f"WITH {KNN}, {near_sql('top', 'vd', 11)} SELECT {HITS}")
 def ivf_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained clusters: no SQL; tested by what any clustering must satisfy."""
+    """Trained clusters, searched by a bound: whatever the clusters are, the hits are the nearest of all vectors."""
     all_ = vectors(spark, sf_dir)
     centroids = vector_index.train(all_)
     return rounded(vector_index.bounded_search(vector_queries(spark, sf_dir), vector_index.assign(all_, centroids), centroids), "distance")
@@ -406,9 +406,21 @@ ORACLES["ensemble_hybrid"] = f"WITH {BOTH}, {RRF}, {ranked_sql('top', 'f', 10)}
 QUERIES["ensemble_hybrid"] = flagship
 
 
-@query()
+def reranked_sql(pool: str, k: int) -> str:
+    """rr: the k of each query's pool with the longest common subsequences, a step of recursion for each chunk token that the query has."""
+    return f"""qs AS (SELECT item_id AS query_id, {TOKENS} AS q FROM benchmark), ds AS (SELECT doc_id AS chunk_id, {TOKENS} AS d FROM documents),
+pl AS (SELECT query_id, chunk_id, rank, q, list_filter(d, lambda x: list_contains(q, x)) AS d FROM {pool} JOIN qs USING (query_id) JOIN ds USING (chunk_id)),
+steps AS (SELECT query_id, chunk_id, 0 AS j, list_transform(range(len(q) + 1), lambda x: 0) AS best FROM pl
+  UNION ALL SELECT query_id, chunk_id, j + 1, list_transform(range(1, len(c) + 1), lambda i: list_max(c[1:i])) FROM (
+    SELECT query_id, chunk_id, j, list_concat([0], list_transform(range(1, len(q) + 1), lambda i: CASE WHEN q[i] = d[j + 1] THEN best[i] + 1 ELSE best[i + 1] END)) AS c
+    FROM steps JOIN pl USING (query_id, chunk_id) WHERE j < len(d))),
+lc AS (SELECT query_id, chunk_id, rank, CAST(best[len(best)] AS INTEGER) AS lcs FROM steps JOIN pl USING (query_id, chunk_id) WHERE j = len(d)),
+rr AS (SELECT * FROM (SELECT query_id, chunk_id, lcs, row_number() OVER (PARTITION BY query_id ORDER BY lcs DESC, rank) AS rank FROM lc) WHERE rank <= {k})"""
+
+
+@query(f"WITH RECURSIVE {INDEX}, {scored_sql('s', 'qt')}, {ranked_sql('top', 's', 10)}, {reranked_sql('top', 5)} SELECT query_id, chunk_id, lcs, rank FROM rr")
 def lcs_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the pool against the query's: no SQL for the table of a subsequence; tested by brute force."""
+    """Tokens of the pool against the query's."""
     hits = bm25.exact(text_index(spark, sf_dir), bm25.query_terms(text_queries(spark, sf_dir)), bm25.Params(top_k=10))
     # texts of the pool alone are tokenized
     texts = fusion.hydrate(hits, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).withColumn("tokens", tx.tokens(F.col("text"))).drop("text")
@@ -752,9 +764,11 @@ def retrieve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieve_texts(ensemble, texts, embed.buckets()), "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {embedded_sql("e", "doc_id", "documents")}, {embedded_sql("qe", "item_id", "benchmark")},
+vd AS (SELECT q.k AS query_id, e.k AS chunk_id, {DISTANCE.format(a="q.embedding", b="e.embedding")} AS distance FROM qe q, e), {near_sql("top", "vd", 15)},
+{reranked_sql("top", 5)} SELECT query_id, chunk_id, CAST(lcs AS DOUBLE) AS score, CAST(rank AS BIGINT) AS rank FROM rr""")
 def vector_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three times the depth by embedding, reranked by subsequence, cut; tested by brute force."""
+    """Three times the depth by embedding, reranked by subsequence, cut."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     retriever = Reranked(Vector(text_vectors(spark, sf_dir)), docs.select("chunk_id", tx.tokens(F.col("text")).alias("tokens")), 5)
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
