@@ -11,7 +11,7 @@ with exact word counts; for one history these sum to at most 1 but for false pos
 
 The model grows with the corpus. Up to `part_bytes` it is broadcast. Beyond, probes are dealt by shuffle to the hash ranges:
 texts go in pieces of four megabytes, each piece asks every range once for its distinct hashes, and a task answers from
-one range at a time. Scores are the same; work, traffic and memory stay in proportion to the corpus, for any size of model.
+one range at a time. There is a range for each `shard_bytes` of training text at least, so a range doesn't grow. Scores are the same; work, traffic and memory stay in proportion to the corpus, for any size of model.
 
 Null and empty texts have one token, the end. Rows with a null id are learned from. Repeated rows count each time and
 score alike; with nothing to learn from, all counts are 0 and scores follow the same formula. Other columns stay.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from quernstone.llm import wordhash as wh
 from quernstone.llm.base import cut, partitions
 
-MIX, BITS, PROBES, PART_BYTES = 0.4, 8, 4, 256_000_000
+MIX, BITS, PROBES, PART_BYTES, SHARD_BYTES = 0.4, 8, 4, 256_000_000, 256_000_000
 END, START = np.uint64(1), np.uint64(2)  # in place of hashes of words
 FLUSH, ASKED, PIECE = 2_000_000, 1024, 1 << 22  # hashes a task holds before it merges them, hashes in a row that asks, bytes of texts that ask together
 WORDS, PAIRS, TEXTS = 2, 3, 4  # kinds of dealt rows, after the model's 0 and 1
@@ -143,21 +143,32 @@ def count(texts: DataFrame, shards: int) -> DataFrame:
                 yield from flush(FLUSH)
         yield from flush(0)
 
+    def merged(kind: int, shard: int, hashes: list, counts: list) -> pa.RecordBatch:
+        h, c = added(hashes, counts)
+        real = h != START if kind == 0 else np.ones(len(h), bool)
+        out = [kind, shard, h.tobytes() if kind == 0 else segment(h, c).tobytes(), shrunk(c) if kind == 0 else b"", int(c[real].sum()), int(real.sum())]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(out, kinds, strict=True)], ["kind", "shard", "hashes", "counts", "total", "size"])
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = {}
+        """One range at a time, whatever ranges a task has; what has come of it is added up when it has doubled."""
+        key, hashes, counts, n, least = None, [], [], 0, 0
         for batch in batches:
-            for kind, shard, h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                hashes, counts = held.setdefault((kind, shard), ([], []))
-                hashes.append(unpacked(h)), counts.append(grown(c))
-        for (kind, shard), (hashes, counts) in sorted(held.items()):
-            h, c = added(hashes, counts)
-            held[kind, shard] = ([], [])
-            real = h != START if kind == 0 else np.ones(len(h), bool)
-            out = [kind, shard, h.tobytes() if kind == 0 else segment(h, c).tobytes(), shrunk(c) if kind == 0 else b"", int(c[real].sum()), int(real.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([out[0]], pa.int32()), pa.array([out[1]], pa.int32()), pa.array([out[2]], pa.binary()), pa.array([out[3]], pa.binary()), pa.array([out[4]], pa.int64()), pa.array([out[5]], pa.int64())], ["kind", "shard", "hashes", "counts", "total", "size"])
+            for kind, shard, h, c in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3), strict=True):
+                if (kind, shard) != key:
+                    if key is not None:
+                        yield merged(*key, hashes, counts)
+                    key, hashes, counts, n, least = (kind, shard), [], [], 0, 0
+                hashes.append(unpacked(h.as_py())), counts.append(grown(c.as_py()))
+                n += len(hashes[-1])
+                if n > 2 * max(least, FLUSH):
+                    h, c = added(hashes, counts)
+                    hashes, counts, n, least = [h], [c], len(h), len(h)
+        if key is not None:
+            yield merged(*key, hashes, counts)
 
     parts = texts.mapInArrow(partial, "kind int, shard int, hashes binary, counts binary")
-    return parts.repartition(shards, "shard").mapInArrow(merge, MERGED)
+    return parts.repartition(shards, "shard").sortWithinPartitions("kind", "shard").mapInArrow(merge, MERGED)
 
 
 def shrunk(counts: np.ndarray) -> bytes:
@@ -184,8 +195,9 @@ class Model:
         return (1 << 64) // self.shards + 1
 
 
-def fit(texts: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> Model:
-    shards = partitions(texts.sparkSession)
+def fit(texts: DataFrame, text: str = "text", part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES) -> Model:
+    n_bytes = texts.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    shards = max(partitions(texts.sparkSession), -(-n_bytes // shard_bytes))
     rows = cut(count(texts.select(F.col(text).cast("string")), shards))
     of_words = F.col("kind") == 0
     size = F.length("hashes") + F.length("counts")

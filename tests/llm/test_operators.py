@@ -78,12 +78,12 @@ def brute_lm(train, rows):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [lm.PART_BYTES, 2000])
-def test_lm_scores(spark, part_bytes):
+@pytest.mark.parametrize(("part_bytes", "shard_bytes"), [(lm.PART_BYTES, lm.SHARD_BYTES), (lm.PART_BYTES, 400), (2000, lm.SHARD_BYTES), (2000, 400)])
+def test_lm_scores(spark, part_bytes, shard_bytes):
     rows = [*texts(80, 2), "", None, "W1 w2\tW3", "never seen words"]
     df = frame(spark, rows)
-    model = lm.fit(df.where("doc_id < 60"), part_bytes=part_bytes)
-    assert model.small == (part_bytes != 2000)
+    model = lm.fit(df.where("doc_id < 60"), part_bytes=part_bytes, shard_bytes=shard_bytes)
+    assert model.small == (part_bytes != 2000) and (shard_bytes != 400 or model.shards > 16)
     got = {r.doc_id: r for r in lm.score(df, model).collect()}
     want = brute_lm(rows[:60], rows)
     for i, (tokens, known, n, base, smooth) in enumerate(want):
