@@ -18,8 +18,9 @@ agree or there is none, all scores are equal and under 0.5. Other columns stay (
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -104,29 +105,43 @@ def features(rows: DataFrame) -> DataFrame:
 class Problem:
     """Log loss of bags of words, with the squared score changes of swapped copies."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, d: int, pairs: np.ndarray, penalty: float):
-        """pairs: (word that stands, word that replaces it), a row for each swap; word d is one that weighs 0."""
-        self.rows, self.cols, self.labels, self.n, self.d = rows, cols, labels, len(labels), d
+    def __init__(self, first: np.ndarray, cols: np.ndarray, labels: np.ndarray, d: int, pairs: np.ndarray, penalty: float):
+        """first, cols: as `packed` gives; pairs: (word that stands, word that replaces it), a row for each swap; word d is one that weighs 0."""
+        self.first, self.cols, self.labels, self.n, self.d = first, cols, labels, len(labels), d
         self.pairs, self.penalty = pairs, penalty / len(labels)
         # a bound on how the slope of each weight turns: words of many texts and of many swaps take shorter steps
-        often, swapped = np.bincount(cols, minlength=d) / self.n, np.bincount(pairs.ravel(), minlength=d + 1)[:d]
-        self.turn_b = 0.25 * max(1.0, len(cols) / self.n)
-        self.turn = self.turn_b * often + 4 * self.penalty * swapped + 1e-9
+        self.often, swapped = np.zeros(d, int), np.bincount(pairs.ravel(), minlength=d + 1)[:d]
+        for _, _, _, cols in self.parts():
+            self.often += np.bincount(cols, minlength=d)
+        self.turn_b = 0.25 * max(1.0, len(self.cols) / self.n)
+        self.turn = self.turn_b * (self.often / self.n) + 4 * self.penalty * swapped + 1e-9
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, text after the last, text of each word, words): what is worked on at once, so that no array has a number for all words."""
+        for at, to in wh.spans(self.first, wh.SEGMENT):
+            yield at, to, np.repeat(np.arange(to - at), np.diff(self.first[at : to + 1])), self.cols[self.first[at] : self.first[to]]
 
     def changes(self, w: np.ndarray) -> np.ndarray:
         w = np.append(w, 0.0)
         return w[self.pairs[:, 0]] - w[self.pairs[:, 1]]
 
+    def sums(self, w: np.ndarray, b: float) -> np.ndarray:
+        z = np.empty(self.n)
+        for at, to, text, cols in self.parts():
+            z[at:to] = np.bincount(text, w[cols], to - at)
+        return z + b
+
     def loss(self, w: np.ndarray, b: float) -> float:
-        z = np.bincount(self.rows, w[self.cols], self.n) + b
+        z = self.sums(w, b)
         change = self.changes(w)
         return float(np.mean(np.logaddexp(0, z) - self.labels * z) + self.penalty * (change @ change))
 
     def slope(self, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        z = np.bincount(self.rows, w[self.cols], self.n) + b
-        rest = (1 / (1 + np.exp(-z)) - self.labels) / self.n
+        rest = (1 / (1 + np.exp(-self.sums(w, b))) - self.labels) / self.n
         change = 2 * self.penalty * self.changes(w)
-        g = np.bincount(self.cols, rest[self.rows], self.d)
+        g = np.zeros(self.d)
+        for at, to, text, cols in self.parts():
+            np.add.at(g, cols, rest[at:to][text])
         swapped = np.bincount(self.pairs[:, 0], change, self.d + 1) - np.bincount(self.pairs[:, 1], change, self.d + 1)
         return g + swapped[: self.d], float(rest.sum())
 
@@ -160,36 +175,82 @@ def swap_table(kinds: list[list[str]]) -> dict[int, list[int]]:
     return out
 
 
+def compare(a, b) -> int:
+    return (a > b) - (a < b)
+
+
+def frequent(sets: list[np.ndarray], min_docs: int, terms: np.ndarray) -> np.ndarray:
+    """Words of min_docs sets at least, and those of terms that occur, ascending; each set ascends, so ranges of hashes are counted one at a time."""
+    least, parts = max(1, min_docs), 1 + sum(map(len, sets)) // wh.SEGMENT
+    cuts = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    ends = np.array([np.searchsorted(s, cuts) for s in sets], int).reshape(len(sets), parts - 1)
+    ends = np.column_stack([np.zeros(len(sets), int), ends, [len(s) for s in sets]])
+    found = []
+    for k in range(parts):
+        words = np.concatenate([s[e[k] : e[k + 1]] for s, e in zip(sets, ends, strict=True)])
+        words.sort()
+        begins = np.append(True, words[1:] != words[:-1])[: len(words)]
+        enough = np.zeros(len(words), bool)
+        enough[: max(0, len(words) - least + 1)] = words[: max(0, len(words) - least + 1)] == words[least - 1 :]
+        found.append(words[begins & (enough | np.isin(words, terms))])
+    return np.concatenate(found)
+
+
+def packed(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text's words begin, places of the words that are known); parts: places, whether known, number in each text; size: of all places."""
+    first, cols, at = [np.zeros(1, int)], np.empty(size, np.int32), 0
+    for places, known, counts in parts:
+        ends = at + np.append(0, np.cumsum(known))[np.cumsum(counts)]
+        cols[at : ends[-1]] = places[known]
+        first.append(ends)
+        at = int(ends[-1])
+    return np.concatenate(first), cols[:at]
+
+
+def places(sets: list[np.ndarray], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    counts = np.array([len(s) for s in sets])
+    for at, to in wh.spans(np.append(0, np.cumsum(counts)), wh.SEGMENT):
+        joined = np.concatenate(sets[at:to])
+        place = np.minimum(np.searchsorted(words, joined), max(0, len(words) - 1))
+        yield place, words[place] == joined if len(words) else np.zeros(len(joined), bool), counts[at:to]
+
+
+def swap_pairs(runs: Iterable[np.ndarray], used: np.ndarray, swaps: dict[int, list[int]]) -> np.ndarray:
+    """(word that stands, word that replaces it) for each occurrence of a term and each of its swaps; a term that isn't in `used` is len(used)."""
+    index = {int(used[c]): int(c) for c in np.flatnonzero(np.isin(used, np.array(sorted(swaps), np.uint64)))}
+    others = {c: [index.get(o, len(used)) for o in swaps[word]] for word, c in index.items()}
+    is_term = np.zeros(len(used), bool)
+    is_term[list(others)] = True
+    found = [np.array([(c, o) for c in cols[is_term[cols]].tolist() for o in others[c]], int).reshape(-1, 2) for cols in runs]
+    return np.concatenate([np.zeros((0, 2), int), *found])
+
+
 def solve(sets: list[np.ndarray], labels: np.ndarray, swaps: dict[int, list[int]], min_docs: int, l1: float, l2: float, swap_penalty: float, steps: int) -> Model:
-    """An L1 fit picks the words; a second fit of those alone, with a slight L2, sets their weights unshrunk."""
+    """An L1 fit picks the words; a second fit of those alone, with a slight L2, sets their weights unshrunk. sets: ascending hashes.
+
+    Besides the sets, four bytes for each of their words are held on to; all else is made for a part of the texts at a time.
+    """
     if len(sets) == 0 or labels.min() == labels.max():
         return Model(-2.0)
-    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    joined = np.concatenate(sets)
-    words, df = np.unique(joined, return_counts=True)
-    terms = np.array(sorted(swaps), np.uint64)
-    words = words[(df >= min_docs) | np.isin(words, terms)]
-    # of the other words, nothing is held on to
-    inverse = np.minimum(np.searchsorted(words, joined), max(0, len(words) - 1)).astype(np.int32)
-    known = words[inverse] == joined if len(words) else np.zeros(len(joined), bool)
-    rows, inverse, kept = rows[known], inverse[known], np.ones(len(words), bool)
-    del joined, known
+    words = frequent(sets, min_docs, np.array(sorted(swaps), np.uint64))
+    first, cols = packed(places(sets, words), sum(map(len, sets)))
+    kept = np.ones(len(words), bool)
     w, b = np.zeros(0), float(np.log(labels.mean() / (1 - labels.mean())))
     for fit in (0, 1):
-        use = kept[inverse]
-        number, used = np.cumsum(kept) - 1, words[kept]
-        index = {int(x): i for i, x in enumerate(used)}
+        used = words[kept]
+        if fit:
+            number = np.cumsum(kept) - 1
+            first, cols = packed(((number[c], kept[c], np.bincount(text, minlength=to - at)) for at, to, text, c in problem.parts()), int(problem.often[kept].sum()))
         # a swap for a term that has no weight changes the score by all that the old one weighs
-        pairs = [(int(c), index.get(o, len(used))) for c in number[inverse[use & np.isin(words, terms)[inverse]]] for o in swaps[int(used[c])]]
-        problem = Problem(rows[use], number[inverse[use]], labels, len(used), np.array(pairs, int).reshape(-1, 2), swap_penalty)
+        runs = (cols[first[at] : first[to]] for at, to in wh.spans(first, wh.SEGMENT))
+        problem = Problem(first, cols, labels, len(used), swap_pairs(runs, used, swaps), swap_penalty)
         w, b = problem.solve(np.zeros(len(used)) if fit == 0 else w, b, 0.0 if fit else l1, l2 if fit else 0.0, steps)
         if fit == 0:
-            picked = np.flatnonzero(w)
             # a swap counts in the second fit too if either of its terms was picked
-            swapped = np.unique(problem.pairs[np.isin(problem.pairs, picked).any(axis=1)])
-            swapped = used[swapped[swapped < len(used)]]
-            kept = np.isin(words, used[picked]) | np.isin(words, swapped)
-            w = w[kept[np.searchsorted(words, used)]]
+            picked, kept = np.append(w != 0, False), np.append(w != 0, False)
+            kept[problem.pairs[picked[problem.pairs].any(axis=1)]] = True
+            kept = kept[:-1]
+            w = w[kept]
     return Model(b, words[kept], w)
 
 
@@ -202,7 +263,8 @@ def fit(rows: DataFrame, min_docs: int = 5, l1: float = 1e-3, l2: float = 1e-5,
         for batch in batches:
             sets += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
             toxic += (batch.column(0).to_numpy(zero_copy_only=False) > 0).tolist()
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())  # the sums don't depend on the order of rows
+        # the sums don't depend on the order of rows; bytes to compare are made for two sets at a time
+        order = sorted(range(len(sets)), key=cmp_to_key(lambda i, j: compare(sets[i].tobytes(), sets[j].tobytes()) or compare(toxic[i], toxic[j])))
         labels = np.array(toxic, float)[order] if order else np.zeros(0)
         model = solve([sets[i] for i in order], labels, swaps, min_docs, l1, l2, swap_penalty, steps)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([model.words.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "words", "weights"])
@@ -216,7 +278,11 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     """df with the score, 0 to 1."""
     kept = [c for c in df.columns if c.lower() != out.lower()]
     columns = [F.col(f"`{c}`") for c in kept]
-    schema = T.StructType([*df.select(*columns).schema.fields, T.StructField(out, T.DoubleType())])
+    fields = df.select(*columns).schema.fields
+    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
+    # a kept string column is read where it stands; else the text stands last, as a column of its own, so that no other column is touched
+    at = kept.index(text) if text in kept and isinstance(fields[kept.index(text)].dataType, T.StringType) else len(kept)
+    given = columns if at < len(kept) else [*columns, F.col(f"`{text}`").cast("string").alias(out)]
     near = np.zeros(1 << 16, bool)
     near[(model.words & np.uint64(0xFFFF)).astype(int)] = True
     shared = df.sparkSession.sparkContext.broadcast((model.bias, model.words, model.weights, near))
@@ -225,16 +291,15 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
         bias, words, weights, near = shared.value
         for batch in batches:
             total = np.full(batch.num_rows, bias)
-            for hashes, row, _, _ in word_sets(batch.column(batch.num_columns - 1)) if len(words) else ():
+            for hashes, row, _, _ in word_sets(batch.column(at)) if len(words) else ():
                 maybe = np.flatnonzero(near[hashes & np.uint64(0xFFFF)])
                 place = np.minimum(np.searchsorted(words, hashes[maybe]), len(words) - 1)
                 hit = words[place] == hashes[maybe]
                 once = np.unique(np.stack([row[maybe[hit]], place[hit]]), axis=1)
                 total += np.bincount(once[0], weights[once[1]], batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-total)))], [*kept, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(1 / (1 + np.exp(-total)))], [*kept, out])
 
-    # the text stands last, as a column of its own, so that no other column is touched
-    return df.select(*columns, F.col(f"`{text}`").cast("string").alias(out)).mapInArrow(run, schema)
+    return df.select(*given).mapInArrow(run, schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: F.Column, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:

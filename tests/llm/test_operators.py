@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from math import log10
 
@@ -733,6 +734,38 @@ def test_swaps_on_the_tables(spark, monkeypatch):
     assert len(found[0]) > 0
 
 
+def test_toxicity_fit_in_parts(monkeypatch):
+    """The fit takes less memory than the word hashes that it is given, and the parts it works on don't show in the model."""
+    rng = np.random.default_rng(3)
+    vocab = np.sort(rng.integers(0, 1 << 64, 50_000, np.uint64))
+    sets = [vocab[np.flatnonzero(rng.random(len(vocab)) < 0.03)] for _ in range(3000)]
+    labels = np.array([float(vocab[7] in s) for s in sets])
+    fit = lambda n: toxicity.solve(sets[:n], labels[:n], toxicity.swap_table([["he", "she"]]), 5, 1e-3, 1e-5, 1.0, 3)
+    tracemalloc.start()
+    try:
+        fit(3000)
+        assert tracemalloc.get_traced_memory()[1] < sum(s.nbytes for s in sets)
+    finally:
+        tracemalloc.stop()
+    whole = fit(300)
+    monkeypatch.setattr(toxicity.wh, "SEGMENT", 2000)
+    parts = fit(300)
+    assert len(whole.words) > 0 and whole.bias == parts.bias
+    assert whole.words.tolist() == parts.words.tolist() and whole.weights.tolist() == parts.weights.tolist()
+
+
+def test_toxicity_takes_the_text_once(spark):
+    df = spark.createDataFrame([(1, "vile words"), (2, None)], "doc_id long, text string")
+    model = toxicity.Model(-1.0, np.array([toxicity.wh.hash_word(b"vile")], np.uint64), np.array([3.0]))
+    got = toxicity.score(df, model)
+    assert got._jdf.queryExecution().analyzed().children().head().output().size() == 2
+    want = [1 / (1 + np.exp(-2.0)), 1 / (1 + np.exp(1.0))]
+    assert [(r.doc_id, r.text, r.score) for r in got.collect()] == [(1, "vile words", pytest.approx(want[0])), (2, None, pytest.approx(want[1]))]
+    # where the text isn't kept, or no string, it still is read
+    assert [r.text for r in toxicity.score(df, model, out="text").collect()] == pytest.approx(want)
+    assert [r.score for r in toxicity.score(df.withColumn("text", F.encode("text", "UTF-8")), model).collect()] == pytest.approx(want)
+
+
 def test_toxicity_messy(messy, empty, spark):
     labels = spark.createDataFrame([(1, 0), (8, 1), (8, 1), (None, 1), (6, None), (77, 1)], "doc_id long, toxic int")
     model = toxicity.fit(toxicity.labelled(messy, labels, F.lit(False)), min_docs=1)
