@@ -95,7 +95,7 @@ def occurrences(docs: DataFrame, text: str, shingles: dict[int, np.ndarray]) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(n[at])], ["k", "at", "n"])
 
     # a row for each shingle of the part: as bounded as the part
-    got = docs.select(F.col(text).cast("string")).mapInArrow(run, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(F.col(text).cast("string")).mapInArrow(wh.trimmed(run), "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
     out = {k: np.zeros(len(v), np.int64) for k, v in shingles.items()}
     ks, at, n = (got.column(c).to_numpy() for c in ("k", "at", "n"))
     for k, total in out.items():
@@ -172,7 +172,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     part = [(held.column(0)[r].as_py(), words) for r, words in item_words(held.column(1).combine_chunks())]
     shared = docs.sparkSession.sparkContext.broadcast(index(source, "hit_text", part, window))
     schema = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))])
-    return source.mapInArrow(step(shared, len(kept)), schema).drop("hit_text")
+    return source.mapInArrow(wh.trimmed(step(shared, len(kept))), schema).drop("hit_text")
 
 
 def step(shared, n_kept: int):

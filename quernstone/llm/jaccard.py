@@ -132,7 +132,7 @@ def profiles(docs: DataFrame, text: str, n: int, salt: int) -> DataFrame:
                 where, counts = np.diff(used[a:b], prepend=i * (SKETCH // SLICES)).astype(np.uint16), np.minimum(sketch[used[a:b]], 65535).astype(np.uint16)
                 yield arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64())], [[None]] * 5 + [[i], [pa.compress(where.tobytes(), "zstd", asbytes=True)], [pa.compress(counts.tobytes(), "zstd", asbytes=True)]])
 
-    return docs.select("doc_id", text_hash(F.col(text)), F.col(text).cast("string")).mapInArrow(run, T.StructType([*own.fields, *found.fields]))
+    return docs.select("doc_id", text_hash(F.col(text)), F.col(text).cast("string")).mapInArrow(wh.trimmed(run), T.StructType([*own.fields, *found.fields]))
 
 
 def sketch_of(profile: DataFrame) -> np.ndarray:
@@ -148,7 +148,7 @@ def sketch_of(profile: DataFrame) -> np.ndarray:
         for i, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
 
-    rows = profile.where("slice is not null").select("slice", "at", "counts").repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary")
+    rows = profile.where("slice is not null").select("slice", "at", "counts").repartition(SLICES, "slice").mapInArrow(wh.trimmed(run), "slice int, counts binary")
     out = np.zeros(SKETCH, np.int64)
     for r in rows.collect():
         out[r.slice * (SKETCH // SLICES) : (r.slice + 1) * (SKETCH // SLICES)] = np.frombuffer(r.counts, np.int64)
@@ -190,7 +190,7 @@ def sets_of(docs: DataFrame, text: str, n: int, salt: int, with_keys: bool) -> D
     def out(nodes: list, sets: list, keys: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "set", "keys"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node long, set binary, keys array<long>")
+    return docs.select(F.col(text).cast("string")).mapInArrow(wh.trimmed(run), "node long, set binary, keys array<long>")
 
 
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
@@ -258,7 +258,7 @@ def near_links(docs: DataFrame, profile: DataFrame, text: str, n: int, percent:
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     found = found.select("key", F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(own))).alias("tile"), "node", "set")
     tiled = found.repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return tiled.mapInArrow(lambda batches: pairs_out(tile_links(groups(batches, 2), percent)), "a long, b long").distinct()
+    return tiled.mapInArrow(wh.trimmed(lambda batches: pairs_out(tile_links(groups(batches, 2), percent))), "a long, b long").distinct()
 
 
 def prefixes(docs: DataFrame, text: str, n: int, percent: int, salt: int, sketch: np.ndarray) -> DataFrame:
@@ -279,7 +279,7 @@ def prefixes(docs: DataFrame, text: str, n: int, percent: int, salt: int, sketch
             join = lambda x, kind: pa.array(np.concatenate(x).view(kind) if x else np.zeros(0, kind))
             yield pa.RecordBatch.from_arrays([join(shingles, np.int64), join(nodes, np.int64), join(sizes, np.int64)], ["shingle", "node", "place"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "shingle long, node long, place long")
+    return docs.select(F.col(text).cast("string")).mapInArrow(wh.trimmed(run), "shingle long, node long, place long")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
             yield rest
 
     tidy = rows.repartition("shingle").sortWithinPartitions("shingle", "node")
-    return tidy.mapInArrow(run, "shingle long, node long, place long")
+    return tidy.mapInArrow(wh.trimmed(run), "shingle long, node long, place long")
 
 
 def tile_pairs(groups_of: Iterator[list[pa.Array]], percent: int) -> Iterator[tuple[int, int]]:
@@ -356,7 +356,7 @@ def missed_links(docs: DataFrame, profile: DataFrame, roots: DataFrame | None, n
     cell = F.least("part", "other").cast("long") * (1 << 20) + F.greatest("part", "other")
     rows = rows.select("shingle", "band", cell.alias("cell"), "node", "place", "root", "home", "part", "bits")
     rows = rows.repartition("shingle", "band", "cell").sortWithinPartitions("shingle", "band", "cell")
-    pairs = cut(rows.mapInArrow(lambda batches: pairs_out(tile_pairs(groups(batches, 3), percent)), "a long, b long").distinct())
+    pairs = cut(rows.mapInArrow(wh.trimmed(lambda batches: pairs_out(tile_pairs(groups(batches, 3), percent))), "a long, b long").distinct())
     if not (n_pairs := pairs.count()):
         return None
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -372,7 +372,7 @@ def missed_links(docs: DataFrame, profile: DataFrame, roots: DataFrame | None, n
                 keep.append(overlap(x, y) >= least_overlap(len(x), len(y), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(wh.trimmed(verify), "a long, b long")
 
 
 def linked(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:

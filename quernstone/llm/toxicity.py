@@ -99,7 +99,7 @@ def features(rows: DataFrame) -> DataFrame:
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(sets, pa.binary())], ["toxic", "words"])
 
-    return rows.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, words binary")
+    return rows.select(F.col("toxic").cast("int"), "text").mapInArrow(wh.trimmed(run), "toxic int, words binary")
 
 
 class Problem:
@@ -270,7 +270,7 @@ def fit(rows: DataFrame, min_docs: int = 5, l1: float = 1e-3, l2: float = 1e-5,
         yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([model.words.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "words", "weights"])
 
     used = features(rows.where("text is not null and toxic is not null"))
-    got = used.repartition(1).mapInArrow(run, "bias double, words binary, weights binary").first()
+    got = used.repartition(1).mapInArrow(wh.trimmed(run), "bias double, words binary, weights binary").first()
     return Model(got.bias, np.frombuffer(got.words, np.uint64), np.frombuffer(got.weights, np.float64)) if got else Model(-2.0)
 
 
@@ -299,7 +299,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
                 total += np.bincount(once[0], weights[once[1]], batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(1 / (1 + np.exp(-total)))], [*kept, out])
 
-    return df.select(*given).mapInArrow(run, schema)
+    return df.select(*given).mapInArrow(wh.trimmed(run), schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: F.Column, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:

@@ -7,7 +7,8 @@ Arrow batch needs no more memory than its own bytes and eight bytes a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,3 +127,19 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total += words[k : k + size] * np.uint64((pow(BASE, k + 1, 1 << 64) ^ 0x5851F42D4C957F2D) | 1)
     return mix(total)
+
+
+def trim() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    if found := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        found(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker, which waits for further tasks, doesn't hold on to what the arrays of this one took."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole

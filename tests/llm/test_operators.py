@@ -754,6 +754,19 @@ def test_toxicity_fit_in_parts(monkeypatch):
     assert whole.words.tolist() == parts.words.tolist() and whole.weights.tolist() == parts.weights.tolist()
 
 
+def test_memory_is_handed_back(spark, monkeypatch):
+    """Whatever a task gives, freed memory goes back once after it, also from the tasks that score."""
+    called = []
+    monkeypatch.setattr(toxicity.wh, "trim", lambda: called.append(1))
+    for n in (0, 3):
+        assert list(toxicity.wh.trimmed(lambda batches: (x + 1 for x in batches))(iter(range(n)))) == list(range(1, n + 1))
+    assert called == [1, 1]
+    monkeypatch.undo()
+    toxicity.wh.trim()
+    got = toxicity.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), toxicity.Model(-1.0))
+    assert "whole(" in got._jdf.queryExecution().analyzed().toString()
+
+
 def test_toxicity_takes_the_text_once(spark):
     df = spark.createDataFrame([(1, "vile words"), (2, None)], "doc_id long, text string")
     model = toxicity.Model(-1.0, np.array([toxicity.wh.hash_word(b"vile")], np.uint64), np.array([3.0]))
