@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,33 @@ def allowed_ids(chunks: DataFrame, text: str) -> DataFrame:
     return chunks.where(predicate(text)).select("chunk_id")
 
 
+@dataclass(frozen=True)
+class Pairs:
+    """The pairs of ids that fit, and of `chunks` (chunk_id) alone if given. fits takes columns as well as NumPy arrays, so that pairs needn't be written out."""
+
+    fits: Callable
+    chunks: DataFrame | None = None
+
+    def __call__(self, hits: DataFrame) -> DataFrame:
+        return restrict(hits.where(self.fits(F.col("query_id"), F.col("chunk_id"))), self.chunks)
+
+
+@dataclass(frozen=True)
+class Predicates:
+    """`passing` of these filters and chunks; a search that reads chunks takes the filters along instead of joining its hits."""
+
+    wanted: DataFrame
+    chunks: DataFrame
+
+    def __call__(self, hits: DataFrame) -> DataFrame:
+        return passing(hits, self.wanted, self.chunks)
+
+
+def by_chunk(allowed: Allowed | None) -> bool:
+    """Whether it holds for all queries alike."""
+    return isinstance(allowed, DataFrame) and "query_id" not in allowed.columns
+
+
 def restrict(hits: DataFrame, allowed: Allowed | None) -> DataFrame:
     if allowed is None:
         return hits
