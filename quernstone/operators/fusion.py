@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.local import settled
+
 RRF_K, TOP_K, FLAT = 60, 10, 1e-6
 
 
@@ -65,8 +67,8 @@ def fuse(lists: Sequence[Ranked | None], method: str = "rrf", k: int = RRF_K, to
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """hits with the chunks' columns; ids that aren't there drop out, ranks stay."""
-    return hits.join(chunks, "chunk_id")
+    """hits with the chunks' columns; ids that aren't there drop out, ranks stay. Few hits go to the chunks, whose texts are then not shuffled."""
+    return settled(hits).join(chunks, "chunk_id")
 
 
 def dedup(hits: DataFrame, limit: int | None = None, document: str = "document_id") -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.local import settled
+
 
 def common_length(a: Sequence[str], b: Sequence[str]) -> int:
     """Bit-parallel: a bit for each place of a, one addition for each token of b that a has."""
@@ -38,7 +40,7 @@ def lcs(a: Column, b: Column) -> Column:
 
 def with_tokens(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """hits with query_tokens and tokens; chunks: chunk_id, tokens."""
-    return hits.join(chunks.select("chunk_id", "tokens"), "chunk_id").join(queries.select("query_id", F.col("tokens").alias("query_tokens")), "query_id")
+    return settled(hits).join(chunks.select("chunk_id", "tokens"), "chunk_id").join(queries.select("query_id", F.col("tokens").alias("query_tokens")), "query_id")
 
 
 def rerank(hits: DataFrame, limit: int | None = None) -> DataFrame:
