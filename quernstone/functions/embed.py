@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -125,8 +126,13 @@ def file_tokenizer(path: str) -> tuple[Callable, Callable]:
 
 
 def bucket_ids() -> Callable[[list[str]], list[int]]:
-    """Ids from 4 on, by the first 16 bits of a token's MD5."""
-    return lambda words: [4 + int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in words]
+    """Ids from 4 on, by the first 16 bits of a token's MD5. Tokens beyond the longest sequence have none; those that were hashed last are remembered."""
+
+    @lru_cache(1 << 18)
+    def one(word: str) -> int:
+        return 4 + int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+
+    return lambda words: [one(w) for w in words[:MOST]]
 
 
 def buckets(dim: int = 16) -> TokenEmbedder:
